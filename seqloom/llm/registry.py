@@ -2,10 +2,16 @@
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .minhash_dedup import op7_minhash_dedup
+from .mixing import op4_mixing
+from .packing import op9_best_fit_packing
+from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL = {
     "op8_exact_dedup": OP8_SQL,
