@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 
 def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
@@ -22,8 +24,11 @@ def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = docs.select("doc_id", F.unhex(F.md5(text)).alias("_h"), F.unhex(F.sha2(text, 256)).alias("_s"))
     several = docs.select(F.unhex(F.md5(text)).alias("_h")).groupBy("_h").count().where("count > 1").select("_h")
-    members = docs.select("doc_id", text.alias("_t"), F.unhex(F.md5(text)).alias("_h")).join(several, "_h", "left_semi")
-    equal = members.groupBy("_h", "_t").agg(pick("doc_id").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    # salted, so that the members of a large group are spread until they are one row a salt
+    salts = several.select("_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_z"))
+    members = docs.select("doc_id", text.alias("_t"), F.unhex(F.md5(text)).alias("_h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_z")).join(salts, ["_h", "_z"], "left_semi")
+    part = members.groupBy("_h", "_z", "_t").agg(pick("doc_id").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    equal = part.groupBy("_h", "_t").agg(pick("_k").alias("_k"), F.sum("_n").alias("_n"))
     # A class is found again by both hashes; should two different texts share both, the query stops rather than err.
     known = (
         equal.select("_h", F.unhex(F.sha2("_t", 256)).alias("_s"), "_k", "_n")

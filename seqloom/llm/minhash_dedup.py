@@ -10,7 +10,8 @@
    near copies stay in proportion to its members.
 4. Components of the verified links are computed. A node whose members are of one component has no more to give. In a
    node with several, members of different components are compared exhaustively where the node is small (at most
-   `small` classes); larger nodes branch on: each class goes down `depth` more levels on `fanout` paths, as many as
+   `small` classes and `small_shingles` shingles, which bounds a task's memory). In larger nodes `pivots` members are
+   compared with all, and the node branches on: each class goes down `depth` more levels on `fanout` paths, as many as
    make up for the chance of parting, and steps 3 and 4 repeat. Below `max_depth` the nodes that are still large are
    compared exhaustively too, so nothing is capped.
 5. Every link is confirmed on the full shingle sets, with integers only.
@@ -144,7 +145,52 @@ def _confirm(numerator: int, denominator: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominator: int = 100, recall: float = 0.9999, depth: int = 4, small: int = 64, max_depth: int = 32) -> DataFrame:
+def _inside(numerator: int, denominator: int):
+    """Links that join a node's components, found by growing one component after the other: each member of it is compared
+    with all that are still outside, at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        at = np.concatenate(([0], np.cumsum(size)))
+        marked = np.zeros(int(token.max()) + 1, bool)
+        _, root = np.unique(roots, return_inverse=True)
+        out: list[tuple[int, int]] = []
+        outside = np.ones(len(ids), bool)
+        for start in range(len(ids)):
+            if not outside[start]:
+                continue
+            queue = np.flatnonzero(root == root[start]).tolist()
+            outside[queue] = False
+            rest, changed = np.zeros(0, np.int64), True
+            while queue:
+                if changed:
+                    rest, changed = np.flatnonzero(outside), False
+                    flat = np.concatenate([token[at[r] : at[r + 1]] for r in rest]) if len(rest) else np.zeros(0, np.int64)
+                    begin = np.cumsum(size[rest]) - size[rest]
+                if not len(rest):
+                    break
+                y = queue.pop()
+                own = token[at[y] : at[y + 1]]
+                marked[own] = True
+                same = np.add.reduceat(marked[flat].astype(np.int64), begin)
+                marked[own] = False
+                near = rest[denominator * same >= numerator * (size[y] + size[rest] - same)]
+                for z in near.tolist():
+                    out.append((int(ids[y]), int(ids[z])))
+                if len(near):
+                    fresh = np.flatnonzero(outside & np.isin(root, root[near]))
+                    outside[fresh] = False
+                    queue += fresh.tolist()
+                    changed = True
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominator: int = 100, recall: float = 0.9999, depth: int = 4, small: int = 2048, small_shingles: int = 4_000_000, pivots: int = 4, max_depth: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Texts are linked when denominator * |intersection| >= numerator * |union| of their sets of `shingle` words."""
@@ -176,18 +222,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
         if mixed.isEmpty():
             break
         last = level * depth >= max_depth
-        crowd = mixed.groupBy("node").count().where(F.lit(last) | (F.col("count") <= small)).select("node")
-        part = mixed.join(crowd, "node", "left_semi")
-        pairs = part.alias("x").join(part.alias("y"), "node").where("x.id < y.id AND x.root <> y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        na, nb = sizes.toDF("a", "na"), sizes.toDF("b", "nb")  # sizes alone rule out most
-        pairs = pairs.join(na, "a").join(nb, "b").where(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator).select("a", "b")
-        found = stored(_verified(pairs, sets, numerator, denominator))
+        held = mixed.join(sizes, "id").groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+        held = stored(held.select("node", ((F.col("m") <= small) & (F.col("w") <= small_shingles)).alias("whole")))
+        whole = mixed.join(held.where("whole"), "node", "left_semi").join(sets, "id")
+        found = whole.groupBy("node").applyInArrow(_inside(numerator, denominator), "a long, b long")
+        large = held.where("NOT whole").select("node")
+        if more := not large.isEmpty():
+            rest = mixed.join(large, "node", "left_semi")
+            if last:
+                asked = rest
+            else:
+                chosen = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(pivots)))
+                drawn = rest.groupBy("node").agg(chosen.alias("ids")).select("node", F.explode(F.array_distinct("ids")).alias("id"))
+                asked = rest.join(drawn, ["node", "id"], "left_semi")
+            other = rest.select("node", F.col("id").alias("b"), F.col("root").alias("rb"))
+            pairs = asked.join(other, "node").where("root <> rb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+            found = found.unionByName(_verified(pairs, sets, numerator, denominator))
+        found = stored(found)
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links)
-        if last:
+        if last or not more:
             break
-        left = _mixed(mixed.join(crowd, "node", "left_anti").select("id", "node"), roots).select("id", "node")
+        left = _mixed(rest.select("id", "node"), roots).select("id", "node")
         nodes = stored(_crowded(reps.join(left, "id").select("id", "signature", "node").mapInArrow(_paths(trees, depth, fanout, level), "id long, node long")))
         if nodes.isEmpty():
             break
