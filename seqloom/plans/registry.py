@@ -1,5 +1,7 @@
 """Every query of the engine by name, and the SQL that checks it."""
 
-QUERIES = {}
-SQL = {}
+from .catalogue import QUERIES, SQL
+
 FLAGSHIP = "sprt_verdicts"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
