@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clipped(p: Column, eps: float) -> Column:
@@ -42,7 +43,7 @@ def two_sided_p_rough(z: Column) -> Column:
     return 2 * F.exp(-z * z / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail. No SQL function gives erfc."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def wav_clips(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +36,7 @@ def wav_clips(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, sr int, samples array<float>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def pcm16(message: pd.Series) -> pd.Series:
     """Little-endian 16-bit samples as numbers in [-1, 1); an odd last byte is left out."""
     return message.map(lambda b: (np.frombuffer(bytes(b)[: len(b) // 2 * 2], "<i2") / 32768).astype(np.float32), na_action="ignore")
