@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import small_batches, stored
 from .text import U, mix
@@ -145,7 +146,7 @@ def taken(docs: DataFrame, block: int = 512, **parameters) -> DataFrame:
     return one.select(columns).unionByName(kept.where("size = 0").select("doc_id", "size", "source_size", "target", F.col("w").alias("taken")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cut(text: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
     import re
 
