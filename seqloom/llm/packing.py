@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -23,33 +25,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import small_batches, stored
-from .text import blocks, word_hashes, words
+from .text import LOWER, blocks, word_hashes, words
 
 END = 0
 
 
-def _pieces(tokenizer_file: str, capacity: int, held_words: int = 1 << 20):
+PUNCTUATION, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row) of the parts of a block that the tokenizer takes for themselves, ASCII in lower case:
+    words, and the punctuation that ends a word after an ASCII letter or digit. Words that may hold a special token's
+    string (it has <|) stay as they are."""
+    start, end, row = words(data, off)
+    low = LOWER[data]
+    special = np.zeros(len(start), bool)
+    if len(data) > 1:
+        special[np.searchsorted(start, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1] = True
+    for i in np.flatnonzero(special):
+        low[start[i] : end[i]] = data[start[i] : end[i]]
+    core = end.copy()
+    going = np.flatnonzero(~special)
+    while len(going):
+        going = going[(core[going] > start[going]) & PUNCTUATION[low[core[going] - 1]]]
+        core[going] -= 1
+    two = (core > start) & (core < end) & ~special
+    two[two] = ALNUM[low[core[two] - 1]]
+    core = np.where(two, core, end)
+    parts = 1 + two
+    first = np.cumsum(parts) - parts
+    begin, stop = np.repeat(start, parts), np.repeat(end, parts)
+    stop[first] = core
+    begin[first[two] + 1] = core[two]
+    return low, begin, stop, np.repeat(row, parts)
+
+
+def _pieces(tokenizer_file: str, capacity: int, held: int = 1 << 20):
     """Token ids are those of whole texts: the tokenizer drops white space and never joins what it parts, so that each
-    distinct word of a task is tokenised once."""
+    distinct part is tokenised once. A worker process keeps the parts that it knows, at most `held`, over its tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        known: dict[int, int] = {}
-        flat, used = np.zeros(1 << 16, np.uint32), 0
-        at, size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        shared = vars(sys.modules.setdefault("seqloom_worker", types.ModuleType("seqloom_worker")))
+        if shared.get("file") != tokenizer_file:
+            shared |= {"file": tokenizer_file, "known": {}, "flat": np.zeros(1 << 16, np.uint32), "used": 0, "at": np.zeros(1 << 14, np.int64), "size": np.zeros(1 << 14, np.int64)}
+        known, flat, used, at, size = (shared[k] for k in ("known", "flat", "used", "at", "size"))
         for batch in batches:
             for a, b, data, off in blocks(batch.column("text")):
-                start, end, row = words(data, off)
+                data, start, end, row = units(data, off)
                 distinct, first, inverse = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
                 keys = distinct.tolist()
-                if len(known) > held_words:
+                if len(known) > held:
                     known, used = {}, 0
                 new = [i for i, k in enumerate(keys) if k not in known]
                 raw = data.tobytes()
-                for enc, i in zip(tokenizer.encode_batch([raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False), new, strict=True):
+                for enc, i in zip(tokenizer.encode_batch_fast([raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False), new, strict=True):
                     ids, k = enc.ids, len(known)
                     while used + len(ids) > len(flat):
                         flat = np.concatenate((flat, np.zeros_like(flat)))
@@ -58,6 +93,7 @@ def _pieces(tokenizer_file: str, capacity: int, held_words: int = 1 << 20):
                     flat[used : used + len(ids)], at[k], size[k] = ids, used, len(ids)
                     used += len(ids)
                     known[keys[i]] = k
+                shared |= {"known": known, "flat": flat, "used": used, "at": at, "size": size}
                 slot = np.fromiter((known[k] for k in keys), np.int64, len(keys))[inverse] if keys else np.zeros(0, np.int64)
                 count = size[slot]
                 total = int(count.sum())
