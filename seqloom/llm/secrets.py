@@ -6,7 +6,8 @@ cutting at the marks, and adding up the lengths of the parts, so that positions
 The method adds spans. Two character Markov models, one of random strings and one of ordinary identifiers, give each
 long token that mixes letters and digits a log-likelihood ratio, and those above `least_ratio` are spans of the kind `markov` unless they overlap a
 base span. The models are bigram counts, additively smoothed, of labelled samples: random strings are the values that
-the base rules find and strings made from digests; identifiers are the words of documents that no rule touches. The
+the base rules find and strings made from digests; identifiers are the words of documents that no rule
+touches, but for those that are candidates themselves. The
 sample is the documents of about `most_learned` rows by a hash of their id, a bound on the classifier's sample only;
 every document is scanned whole. The models' table has a fixed size (an entry a pair of 65 symbols).
 
@@ -74,7 +75,7 @@ def learn(docs: DataFrame, most_learned: int, made: int, seed: int) -> list[floa
     sample = scanned(docs.where(F.coalesce(place < min(1.0, most_learned / max(n, 1)), F.lit(False))))
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["m"], ASSIGN, 2)), F.transform("access", lambda x: x["m"]), F.transform("hex", lambda x: x["m"]))
     clean = (F.size("assign") + F.size("access") + F.size("hex")) == 0
-    rows = sample.select(F.when(clean, F.lit(0)).otherwise(F.lit(1)).alias("random"), F.explode(F.when(clean, F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_]{3,})"), F.lit(1))).otherwise(values)).alias("token"))
+    rows = sample.select(F.when(clean, F.lit(0)).otherwise(F.lit(1)).alias("random"), F.explode(F.when(clean, F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_]{3,})"), F.lit(1)), lambda x: (F.length(x) < 16) | ~x.rlike("[0-9]"))).otherwise(values)).alias("token"))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     strings = spark.range(0, made, 1, 4).select(F.lit(1).alias("random"), F.explode(F.array(digest, F.base64(F.unhex(digest)), F.upper(F.conv(F.substring(digest, 1, 12), 16, 36)), F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "[+/=]", ""))).alias("token"))
     counted = rows.unionByName(strings).select("random", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
