@@ -104,4 +104,22 @@ def judge(docs: DataFrame, host: str, most: float = 0.5, fewest_words: int = 20,
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source").drop("host")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source").drop("host").withColumn("host_rate", F.round("host_rate", 6))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT doc_id, i, CASE WHEN i <= len(ws) - 7 THEN md5(array_to_string(ws[i:i + 7], ' ')) END AS h FROM v),
+r AS (SELECT doc_id, i, CAST(h IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h) > 1 AS INTEGER) AS hit FROM k),
+c AS (SELECT doc_id, sum(cov) AS n FROM (SELECT doc_id, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS cov FROM r) GROUP BY doc_id),
+b AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS d, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM j GROUP BY source),
+t AS (SELECT sum(d) AS n, sum(f) / sum(d) AS m, count(*) AS k, sum(f * f / d) AS s, sum(d * d) AS q FROM h),
+u AS (SELECT m, CASE WHEN k > 1 AND m > 0 AND m < 1 THEN ((s - n * m * m) - (k - 1) * m * (1 - m)) / (n - q / n) ELSE 0 END AS b FROM t),
+z AS (SELECT m, CASE WHEN b > 0 THEN greatest(1, m * (1 - m) / b - 1) ELSE 1e6 END AS st FROM u),
+rt AS (SELECT source, (f + m * st) / (d + st) AS rate FROM h, z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept FROM j JOIN rt ON rt.source IS NOT DISTINCT FROM j.source
+"""

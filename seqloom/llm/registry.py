@@ -6,9 +6,9 @@ from .language_id import op3_language_id
 from .minhash_dedup import op7_minhash_dedup
 from .mixing import op4_mixing
 from .packing import op9_best_fit_packing
-from .quality import op5_quality_rules
+from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op2_secret_scans
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -24,5 +24,7 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 SQL = {
+    "op1_substring_dedup": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
 }

@@ -222,3 +222,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 8, shard_words
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept_text")
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM v),
+f AS (SELECT doc_id, i, CAST(min(doc_id) OVER (PARTITION BY h) < doc_id AS INTEGER) AS hit FROM k),
+c AS (SELECT p.doc_id, p.i, word, coalesce(max(hit) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+g AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
