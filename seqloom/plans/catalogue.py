@@ -432,9 +432,9 @@ def calls(spark, d):
     return S.indexed(t, "o_custkey", ["o_orderdate", "o_orderkey"]).select("clip", "i", ((F.col("o_totalprice") - 250000) / 144000).alias("llr"))
 
 
-@query(f'WITH {SPRT_SQL} SELECT clip, CAST(k AS BIGINT) AS k, round("lambda", 6) AS "lambda", verdict FROM sp')
+@query(f'WITH {SPRT_SQL} SELECT clip, CAST(k AS BIGINT) AS k, round("lambda", 9) AS "lambda", verdict FROM sp')
 def sprt_verdicts(spark, d):
-    return decisions.sprt(calls(spark, d), "llr").select("clip", F.col("k").cast("long").alias("k"), r6("lambda").alias("lambda"), "verdict")
+    return decisions.sprt(calls(spark, d), "llr").select("clip", F.col("k").cast("long").alias("k"), F.round("lambda", 9).alias("lambda"), "verdict")
 
 
 @query(f"WITH {SPRT_SQL} SELECT clip, coalesce(arg_max(verdict, k) FILTER (verdict <> 'pending'), 'undecided') AS verdict FROM sp GROUP BY clip")
