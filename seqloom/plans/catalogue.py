@@ -527,7 +527,7 @@ def lpc_residual_order10(spark, d):
 def next_bit_checks(spark, d):
     from ..operators import predictors
 
-    return predictors.checks(bits(spark, d).where("clip <= 4"), "bit", windows=(8,), seed=42)
+    return predictors.checks(bits(spark, d), "bit", windows=(8,), seed=42)
 
 
 @query()

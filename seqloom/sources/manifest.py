@@ -18,26 +18,30 @@ def save(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").parquet(path)
 
 
-def capped(rows: DataFrame, speaker: str, label: str, order: list[str], per_speaker: int = 5, per_label: int = 300) -> DataFrame:
-    """The first rows of each speaker, and of those the first of each label, in order of arrival."""
+def capped(rows: DataFrame, speaker: str, label: str, order: list[str], per_speaker: int = 5, per_label: int = 300, parts: int = 64) -> DataFrame:
+    """The first rows of each speaker, and of those the first of each label, in order of arrival. A label's candidates
+    are first cut to its cap in each of `parts`, so that few rows of a label meet in one task."""
     n = F.row_number().over(Window.partitionBy(label, speaker).orderBy(*order))
-    rows = rows.withColumn("_n", n).where(F.col("_n") <= per_speaker)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_n") <= per_label).drop("_n")
+    rows = rows.withColumn("_n", n).where(F.col("_n") <= per_speaker).withColumn("_p", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label, "_p").orderBy(*order))).where(F.col("_n") <= per_label)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_n") <= per_label).drop("_n", "_p")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, per_task: int = 100_000) -> DataFrame:
+    """With the rows' places in the given order, from 0: rows are dealt by ranges of the order, and only the ranges' sizes meet in one task."""
+    ranged = rows.repartitionByRange(max(1, -(-rows.count() // per_task)), *order).withColumn("_r", F.spark_partition_id())
+    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return ranged.join(F.broadcast(sizes), "_r").withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1).drop("_r", "_b")
 
 
 def speaker_split(rows: DataFrame, speaker: str, order: Column, calib: float = 0.3, train: float = 0.4) -> DataFrame:
     """speaker, split: speakers in the given order (a seeded hash, say); the first share calibrates, the next trains, the rest tests; each has one at least."""
-    people = rows.select(F.col(speaker).alias("speaker")).where("speaker IS NOT NULL").distinct()
+    people = rows.select(F.col(speaker).alias("speaker")).where("speaker IS NOT NULL").distinct().withColumn("_o", order)
     n = people.count()
-    placed = people.withColumn("_o", order)
-    buckets = max(1, n // 10_000)
-    # places by range: only the sizes of the ranges meet in one task
-    ranged = placed.repartitionByRange(buckets, "_o", "speaker").withColumn("_r", F.spark_partition_id()) if buckets > 1 else placed.withColumn("_r", F.lit(0))
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    at = ranged.join(F.broadcast(sizes), "_r").withColumn("_at", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_o", "speaker")) - 1)
     c, t = max(1, int(calib * n)), max(1, int(train * n))
     if c + t >= n:
         t = max(0, n - c - 1)
+    at = numbered(people, ["_o", "speaker"], "_at")
     return at.select("speaker", F.when(F.col("_at") < c, "calib").when(F.col("_at") < c + t, "train").otherwise("test").alias("split"))
 
 
@@ -48,7 +52,7 @@ def disjoint(rows: DataFrame, speaker: str, split: str) -> DataFrame:
 
 def interleaved(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
     """Two sources in turn, with columns turn and source; the longer one's rest comes last."""
-    rows = [df.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(k)).orderBy(*o))).withColumn("source", F.lit(k)) for k, (df, o) in enumerate(((a, order_a), (b, order_b)))]
+    rows = [numbered(df, o, "turn").withColumn("turn", F.col("turn") + 1).withColumn("source", F.lit(k)) for k, (df, o) in enumerate(((a, order_a), (b, order_b)))]
     return rows[0].unionByName(rows[1])
 
 
