@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import small_batches, stored
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, least: float = 0.1, fewest_pages: int = 5) -> Data
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    trees = style_trees(pages, fewest_pages)
+    trees = stored(style_trees(pages, fewest_pages))  # of known size from here on: Spark broadcasts it only if it is small
     return pages.join(trees, "host", "left").select("page_id", "url", "html", "host", "styles").mapInArrow(_texts(least), "page_id long, url string, text string, n_chars long")
 
 
