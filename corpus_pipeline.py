@@ -10,7 +10,9 @@ from seqloom.llm.session import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict to be toxic; it learns from all folds that operator 6 may learn from."""
+    """Documents that the toxicity model does not predict to be toxic; it learns from all folds that operator 6 may learn from.
+
+    Rows that repeat a doc_id share the worst verdict; rows with a null doc_id stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = toxicity.score(docs, labels, toxicity.fold(5) != 0)
     bad = scores.where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()

@@ -46,8 +46,9 @@ def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: str = "max") -> DataFrame:
     """docs without the rows whose text a kept row has too; all columns stay."""
-    gone = groups(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = groups(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_hash"))
+    text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text == gone["_hash"]), "left_anti")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ def test_exact_odd_rows(spark, nothing):
     t = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None), (2, "b")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup.groups(t).collect())
     assert got == [(-1, 1, True), (-1, 3, False), (1, 3, True), (1, 3, True), (2, 1, True)]
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in exact_dedup.deduplicate(t).collect()) == [(-1, ""), (1, "a"), (1, "a"), (2, "b")]
     assert exact_dedup.groups(nothing).count() == 0
 
 
