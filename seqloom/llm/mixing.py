@@ -173,10 +173,10 @@ def mixed_documents(docs: DataFrame, block: int = 512, **parameters) -> DataFram
     got = _overlaps(placed, block).join(takes, ["src", "blk"]).withColumn("y", F.least("y", "words")).where("x < y")
     start = F.col("blk") * block - F.col("before")
     spans = got.groupBy("doc_id", "text_hash", "before", "size", "turn").agg(F.collect_list(F.struct((start + F.col("x")).alias("x"), (start + F.col("y")).alias("y"))).alias("spans"))
-    keyed = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    out = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_h") == F.col("text_hash")))
-    out = out.withColumn("text", _cut("text", "size", "spans"))
+    keyed = docs.withColumn("_mix_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_mix_hash"])
+    spans = spans.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_text"), F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans"))
+    out = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_mix_id"]) & (F.col("_mix_hash") == F.col("_mix_text")))
+    out = out.withColumn("text", _cut("text", "_mix_size", "_mix_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

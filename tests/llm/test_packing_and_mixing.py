@@ -72,7 +72,7 @@ def test_mix(sources, nothing):
 
 
 def test_mixed_documents(sources):
-    docs = sources.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs = sources.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumns({c: F.lit(1) for c in ("size", "turn", "spans", "before", "src")})
     out = mixing.mixed_documents(docs, block=64)
     assert out.columns == docs.columns
     words = out.withColumn("w", F.size(F.split("text", " "))).groupBy("doc_id").agg(F.sum("w").cast("long").alias("w"))
