@@ -2,18 +2,19 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes), the set's 128-bit digest and a minwise signature.
    Texts with equal sets are one class from here on, represented by its smallest doc_id.
-2. Trees. In each of `trees` independent trees a class walks down `depth` levels: at a node, the node's own hash
-   chooses the minwise coordinate by whose token the node branches. Classes that choose the same path meet in a node.
-   A pair with the threshold's similarity s keeps together over a level with chance s, so that a tree finds it with
-   s^depth and all trees miss it with (1 - s^depth)^trees: `tree_count` takes as many as the target recall needs.
+2. Trees. In each of `trees` trees a class walks down `depth` levels, branching at each by the token of a minwise
+   coordinate. No two trees share a coordinate, so that they are independent. Classes that choose the same path meet
+   in a node. A pair with the threshold's similarity s keeps together over a level with chance s, over a tree's with
+   s^depth. `path_counts` takes as many trees as the target recall needs, large nodes (4) included.
 3. In each node every class is compared with the node's smallest id, not with all others: links of a large group of
    near copies stay in proportion to its members.
 4. Components of the verified links are computed. A node whose members are of one component has no more to give. In a
    node with several, members of different components are compared exhaustively where the node is small (at most
    `small` classes and `small_shingles` shingles, which bounds a task's memory). In larger nodes `pivots` members are
-   compared with all, and the node branches on: each class goes down `depth` more levels on `fanout` paths, as many as
-   make up for the chance of parting, and steps 3 and 4 repeat. Below `max_depth` the nodes that are still large are
-   compared exhaustively too, so nothing is capped.
+   compared with all, and the node branches on: each class goes down `depth` more levels on `fanout` paths, and steps 3
+   and 4 repeat. Each node below hashes the whole sets anew, by its own hash, so that its branches are independent of
+   all others. Below `max_depth` the nodes that are still large are compared exhaustively too, block against block in
+   tasks of that size, so nothing is capped.
 5. Every link is confirmed on the full shingle sets, with integers only.
 
 Null and empty texts have no shingles and are linked with nothing; texts with fewer words than a shingle have one,
@@ -35,11 +36,24 @@ from .links import components
 from .session import small_batches, stored
 from .text import LOWER, U, blocks, mix, per_row, windows, word_hashes, words
 
-COORDINATES = 64
 
+def path_counts(similarity: float, depth: int, recall: float, most_lost: float = 0.25) -> tuple[int, int]:
+    """(trees, fanout) by which a pair of this similarity is compared with a chance of `recall`, were all its nodes large.
 
-def tree_count(similarity: float, depth: int, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+    A pair in a large node is lost there with chance q: on none of `fanout` paths does it keep together and is not lost
+    further down, q = (1 - s^depth (1 - q))^fanout. Iterated from 0, the exhaustive last level, q grows to its limit,
+    which holds for any number of levels. `fanout` is the least that brings q to `most_lost`; the trees make up for it."""
+    keep = similarity**depth
+    if keep >= 1:
+        return 1, 1
+    fanout = math.ceil(1 / keep)
+    while True:
+        lost = 0.0
+        for _ in range(10_000):
+            lost = (1 - keep * (1 - lost)) ** fanout
+        if lost <= most_lost:
+            return math.ceil(math.log(1 - recall) / math.log(1 - keep * (1 - lost))), fanout
+        fanout += 1
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +77,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return (np.concatenate(sets) if sets else np.zeros(0, U)), np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
 
 
-def _features(k: int):
-    seeds = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES).astype(U) | U(1)
+def _features(k: int, coordinates: int):
+    seeds = np.random.default_rng(7).integers(1, 1 << 63, coordinates).astype(U) | U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,11 +86,11 @@ def _features(k: int):
                 flat, at = shingle_sets(data, off, k)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
-                sig = np.zeros((b - a, COORDINATES), np.uint32)
+                sig = np.zeros((b - a, coordinates), np.uint32)
                 k1, k2 = np.zeros(b - a, U), np.zeros(b - a, U)
                 if len(some):
                     with np.errstate(over="ignore"):
-                        for j in range(COORDINATES):
+                        for j in range(coordinates):
                             sig[some, j] = np.minimum.reduceat((flat * seeds[j]) >> U(32), at[some]).astype(np.uint32)
                         k1[some] = np.add.reduceat(mix(flat), at[some])
                         k2[some] = np.add.reduceat(mix(flat ^ U(0x5851F42D4C957F2D)), at[some])
@@ -98,28 +112,46 @@ def _sets(k: int):
     return run
 
 
-def _paths(trees: int, depth: int, fanout: int, level: int):
-    """Nodes at which each class arrives: from the root on `trees` paths, or from a given node on `fanout` ones."""
+def _paths(trees: int, depth: int):
+    """Nodes at which each class arrives from the root: one a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, COORDINATES)
-            ways = trees if level == 0 else fanout
-            at = np.zeros(n, U) if level == 0 else batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            ids, out = [], []
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, trees, depth).astype(U)
+            out = []
             with np.errstate(over="ignore"):
-                for way in range(ways):
-                    node = mix(at + U(way + 1) * U(0xD6E8FEB86659FD93))
-                    for _ in range(depth):
-                        coordinate = (node >> U(40)) % U(COORDINATES)
-                        token = sig[np.arange(n), coordinate.astype(np.int64)].astype(U)
-                        node = mix(node + mix(token + (coordinate + U(1)) * U(0x100000001)))
-                    ids.append(batch.column("id"))
+                for tree in range(trees):
+                    node = mix(np.full(n, tree + 1, U) * U(0xD6E8FEB86659FD93))
+                    for level in range(depth):
+                        node = mix(node + mix(sig[:, tree, level] + U(level + 1) * U(0x100000001)))
                     out.append(pa.array(node.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(out)], ["id", "node"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("id")] * trees), pa.concat_arrays(out)], ["id", "node"])
+
+    return run
+
+
+def _onward(fanout: int, depth: int):
+    """Nodes at which each class arrives from a given node, on `fanout` paths. The least product of a shingle and a node's hash names the branch."""
+    ways = (np.arange(fanout) + 1).astype(U) * U(0xD6E8FEB86659FD93)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+            out = np.empty((batch.num_rows, fanout), U)
+            sets = batch.column("shingles")
+            with np.errstate(over="ignore"):
+                for i in range(batch.num_rows):
+                    flat = np.frombuffer(sets[i].as_buffer(), U)
+                    node = mix(at[i] + ways)
+                    for _ in range(depth):
+                        seeds = mix(node ^ U(0x2545F4914F6CDD1D)) | U(1)
+                        node = mix(node + mix((flat * seeds[:, None]).min(axis=1)))
+                    out[i] = node
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), fanout)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out.ravel().view(np.int64))], ["id", "node"])
 
     return run
 
@@ -197,16 +229,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
     spark = docs.sparkSession
     small_batches(spark)
     similarity = numerator / denominator
-    trees, fanout = tree_count(similarity, depth, recall), math.ceil(similarity**-depth)
+    trees, fanout = path_counts(similarity, depth, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = stored(docs.mapInArrow(_features(shingle), "doc_id long, n_shingles long, k1 long, k2 long, signature binary"))
+    features = stored(docs.mapInArrow(_features(shingle, trees * depth), "doc_id long, n_shingles long, k1 long, k2 long, signature binary"))
     full = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
     reps = full.select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "signature").join(classes, ["id", "k1", "k2", "n_shingles"], "left_semi").select("id", "n_shingles", "signature")
 
     sizes = reps.select("id", F.col("n_shingles").alias("n"))
     links, sets, roots = None, None, None
-    nodes = stored(_crowded(reps.mapInArrow(_paths(trees, depth, fanout, 0), "id long, node long")))
+    nodes = stored(_crowded(reps.mapInArrow(_paths(trees, depth), "id long, node long")))
     level = 0
     while True:
         level += 1
@@ -223,21 +255,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
             break
         last = level * depth >= max_depth
         held = mixed.join(sizes, "id").groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-        held = stored(held.select("node", ((F.col("m") <= small) & (F.col("w") <= small_shingles)).alias("whole")))
+        # blocks of a quarter of the bounds, as two of them meet in a task and their sizes vary
+        parts = F.greatest(F.ceil(F.col("m") * 4 / small), F.ceil(F.col("w") * 4 / small_shingles)).cast("long")
+        held = stored(held.select("node", ((F.col("m") <= small) & (F.col("w") <= small_shingles)).alias("whole"), parts.alias("parts")))
         whole = mixed.join(held.where("whole"), "node", "left_semi").join(sets, "id")
         found = whole.groupBy("node").applyInArrow(_inside(numerator, denominator), "a long, b long")
-        large = held.where("NOT whole").select("node")
+        large = held.where("NOT whole").select("node", "parts")
         if more := not large.isEmpty():
             rest = mixed.join(large, "node", "left_semi")
             if last:
-                asked = rest
+                found = found.unionByName(_block_pairs(mixed.join(large, "node")).join(sets, "id").groupBy("node", "i", "j").applyInArrow(_inside(numerator, denominator), "a long, b long"))
             else:
                 chosen = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(pivots)))
                 drawn = rest.groupBy("node").agg(chosen.alias("ids")).select("node", F.explode(F.array_distinct("ids")).alias("id"))
                 asked = rest.join(drawn, ["node", "id"], "left_semi")
-            other = rest.select("node", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = asked.join(other, "node").where("root <> rb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            found = found.unionByName(_verified(pairs, sets, numerator, denominator))
+                other = rest.select("node", F.col("id").alias("b"), F.col("root").alias("rb"))
+                pairs = asked.join(other, "node").where("root <> rb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+                found = found.unionByName(_verified(pairs, sets, numerator, denominator))
         found = stored(found)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -245,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
         if last or not more:
             break
         left = _mixed(rest.select("id", "node"), roots).select("id", "node")
-        nodes = stored(_crowded(reps.join(left, "id").select("id", "signature", "node").mapInArrow(_paths(trees, depth, fanout, level), "id long, node long")))
+        nodes = stored(_crowded(left.join(sets, "id").select("id", "node", "shingles").mapInArrow(_onward(fanout, depth), "id long, node long")))
         if nodes.isEmpty():
             break
     # back to all rows: class, then component
@@ -280,6 +314,13 @@ def _mixed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return of.join(several, "node", "left_semi")
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """(id, node, root, i, j): members of each node dealt to `parts` blocks (4 at least), and each pair of blocks i < j with the members of both."""
+    dealt = members.withColumn("_block", F.pmod(F.xxhash64("id", F.lit(99)), F.col("parts")))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("_block <> _other")
+    return paired.select("id", "node", "root", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     one, two = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(numerator, denominator), "a long, b long")

@@ -64,6 +64,28 @@ def test_near_duplicates(docs, texts):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (c, _) in linked(texts, 5, 80).items() if c == i}
 
 
+def test_near_pairs_in_large_nodes(spark):
+    """Pairs just at the threshold, joined by nothing else, among texts that share most of a template."""
+    pairs, rows = 150, []
+    for p in range(pairs):
+        shared = [f"t{i}" for i in range(35)] + [f"p{p}_{i}" for i in range(5)]
+        rows += [(2 * p + side, " ".join(shared + [f"o{p}_{side}_{i}" for i in range(5)])) for side in (0, 1)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # large nodes branch on once, and are compared block against block below
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(t, 1, 80, 100, small=32, max_depth=8).collect()}
+    assert all(got[2 * p] == 2 * p for p in range(pairs))  # no other pair is similar
+    assert all(got[2 * p + 1] == 2 * p for p in range(pairs))  # 0.015 misses expected at a recall of 0.9999
+
+
+def test_near_path_counts():
+    for s in (0.8, 0.85, 0.95):
+        trees, fanout = minhash_dedup.path_counts(s, 4, 0.9999)
+        lost = 0.0
+        for _ in range(8):
+            lost = (1 - s**4 * (1 - lost)) ** fanout
+        assert (1 - s**4 * (1 - lost)) ** trees <= 1e-4
+
+
 def test_near_odd_rows(spark, nothing):
     text = " ".join(f"w{i}" for i in range(40))
     t = spark.createDataFrame([(3, text), (3, "other words stand here"), (4, text + " more"), (None, text), (5, "Other words stand here"), (6, None)], "doc_id long, text string")
