@@ -37,6 +37,15 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[there.index(c)]) for c in names) for r in cursor.fetchall()), key=repr)
 
 
+def test_next_bit_checks_are_whole(spark):
+    rows = QUERIES["next_bit_checks"](spark, DATA).collect()
+    grid = {(m, w, d) for m in ("bit", "block") for w in (8, 16, 32) for d in ("fwd", "bwd")}
+    for clip in {r["clip"] for r in rows}:
+        own = [r for r in rows if r["clip"] == clip]
+        assert len(own) == 12 and {(r["mode"], r["w"], r["dir"]) for r in own} == grid
+    assert rows and all(r["delta"] is not None and r["n_test"] >= 200 for r in rows)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
