@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import small_batches, stored
-from .text import LOWER, blocks, word_hashes, words
+from .text import LOWER, U, blocks, word_hashes, words
 
 END = 0
 
@@ -62,45 +62,84 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return low, begin, stop, np.repeat(row, parts)
 
 
-def _pieces(tokenizer_file: str, capacity: int, held: int = 1 << 20):
+class Known:
+    """Token ids of parts by hash, in sorted arrays of at most `most` bytes. When they are full, the parts that were
+    asked for since the last time stay, if they fill at most half of the room."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.asked, self.flat = np.zeros(0, bool), np.zeros(0, np.uint32)
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.asked, self.flat))
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[found] == keys
+        self.asked[found[hit]] = True
+        return ~hit
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """keys: sorted, none of them known."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        at = len(self.flat) + np.cumsum(size) - size
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.asked, self.flat = np.insert(self.asked, place, True), np.concatenate((self.flat, flat))
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known keys begin in `flat`, and how many they are."""
+        found = np.searchsorted(self.keys, keys)
+        return self.at[found].astype(np.int64), self.size[found].astype(np.int64)
+
+    def shrink(self) -> None:
+        if self.bytes() <= self.most:
+            return
+        kept, size = self.asked, self.size[self.asked].astype(np.int64)
+        before = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.at[kept] - before, size) + np.arange(int(size.sum()))]
+        self.keys, self.at, self.size, self.asked = self.keys[kept], before.astype(np.int32), size.astype(np.int32), np.zeros(len(size), bool)
+        if self.bytes() > self.most // 2:
+            self.clear()
+
+
+def _pieces(tokenizer_file: str, capacity: int, held: int = 24 << 20):
     """Token ids are those of whole texts: the tokenizer drops white space and never joins what it parts, so that each
-    distinct part is tokenised once. A worker process keeps the parts that it knows, at most `held`, over its tasks."""
+    distinct part is tokenised once a block. A worker process keeps parts that it knows over its tasks, at most `held`
+    bytes of them; a lost worker loses nothing but time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
         shared = vars(sys.modules.setdefault("seqloom_worker", types.ModuleType("seqloom_worker")))
         if shared.get("file") != tokenizer_file:
-            shared |= {"file": tokenizer_file, "known": {}, "flat": np.zeros(1 << 16, np.uint32), "used": 0, "at": np.zeros(1 << 14, np.int64), "size": np.zeros(1 << 14, np.int64)}
-        known, flat, used, at, size = (shared[k] for k in ("known", "flat", "used", "at", "size"))
+            shared |= {"file": tokenizer_file, "tokenizer": Tokenizer.from_file(tokenizer_file), "known": Known(held)}
+        tokenizer, known = shared["tokenizer"], shared["known"]
         for batch in batches:
             for a, b, data, off in blocks(batch.column("text")):
                 data, start, end, row = units(data, off)
                 distinct, first, inverse = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-                keys = distinct.tolist()
-                if len(known) > held:
-                    known, used = {}, 0
-                new = [i for i, k in enumerate(keys) if k not in known]
+                new = np.flatnonzero(known.missing(distinct))
                 raw = data.tobytes()
-                for enc, i in zip(tokenizer.encode_batch_fast([raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False), new, strict=True):
-                    ids, k = enc.ids, len(known)
-                    while used + len(ids) > len(flat):
-                        flat = np.concatenate((flat, np.zeros_like(flat)))
-                    if k >= len(at):
-                        at, size = np.concatenate((at, np.zeros_like(at))), np.concatenate((size, np.zeros_like(size)))
-                    flat[used : used + len(ids)], at[k], size[k] = ids, used, len(ids)
-                    used += len(ids)
-                    known[keys[i]] = k
-                shared |= {"known": known, "flat": flat, "used": used, "at": at, "size": size}
-                slot = np.fromiter((known[k] for k in keys), np.int64, len(keys))[inverse] if keys else np.zeros(0, np.int64)
-                count = size[slot]
+                encoded = tokenizer.encode_batch_fast([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new].tolist()], add_special_tokens=False)
+                known.add(distinct[new], [x.ids for x in encoded])
+                del encoded, raw
+                at, size = known.slots(distinct)
+                count = size[inverse]
                 total = int(count.sum())
                 before = np.cumsum(count) - count
                 out = np.full(total + b - a, END, np.uint32)
                 step = np.arange(total)
-                out[step + np.repeat(row, count)] = flat[np.repeat(at[slot] - before, count) + step]
+                out[step + np.repeat(row, count)] = known.flat[np.repeat(at[inverse] - before, count) + step]
+                known.shrink()
                 length = np.bincount(row, weights=count, minlength=b - a).astype(np.int64) + 1 if total else np.ones(b - a, np.int64)
                 begin = np.cumsum(length) - length
                 n = -(-length // capacity)

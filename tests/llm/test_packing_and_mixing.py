@@ -80,3 +80,16 @@ def test_mixed_documents(sources):
     assert {r["doc_id"]: r["w"] for r in words.collect()} == want
     whole = docs.join(out.select("doc_id", F.col("text").alias("t")), "doc_id").where("text = t").count()
     assert whole > 300
+
+
+def test_known_parts_stay_within_their_bytes():
+    known, rng = packing.Known(20_000), np.random.default_rng(1)
+    for _ in range(200):
+        keys = np.unique(np.concatenate((rng.integers(0, 50, 30), rng.integers(0, 100_000, 40)))).astype(np.uint64)
+        new = np.flatnonzero(known.missing(keys))
+        known.add(keys[new], [[int(k)] * int(k % 4) for k in keys[new]])
+        at, size = known.slots(keys)
+        assert [known.flat[a : a + n].tolist() for a, n in zip(at, size, strict=True)] == [[int(k)] * int(k % 4) for k in keys]
+        known.shrink()
+        assert known.bytes() <= 20_000
+    assert len(known.keys)
