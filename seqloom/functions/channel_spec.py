@@ -20,7 +20,8 @@ def parse(spec: Column) -> Column:
     written = F.regexp_extract(head, rf"^[a-z0-9]+_({NUMBER})$", 1)
     rate = F.when(written != "", written.cast("double"))
     snapped = F.when(codec == "amrnb", F.try_element_at(F.filter(F.array(*map(F.lit, AMR_NB)), lambda r: F.abs(r - rate) < 1e-4), F.lit(1))).when(codec == "amrwb", F.try_element_at(F.filter(F.array(*map(F.lit, AMR_WB)), lambda r: F.abs(r - rate) < 1e-4), F.lit(1)))
-    mods = F.slice(F.split(text, r"\+"), 2, 99)
+    parts = F.split(text, r"\+")
+    mods = F.slice(parts, F.lit(2), F.size(parts))
     last = lambda kind, number: F.try_element_at(F.transform(F.filter(mods, lambda m: m.rlike(f"^{kind}{number}$")), lambda m: F.regexp_extract(m, f"^{kind}({number})$", 1).cast("double")), F.lit(-1))
     loss, snr = F.coalesce(last("loss", NUMBER), F.lit(0.0)), last("snr", rf"-?{NUMBER}")
     good = F.forall(mods, lambda m: m.rlike(rf"^(loss{NUMBER}|snr-?{NUMBER})$")) & loss.between(0, 100)

@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def clipped(p: Column, eps: float) -> Column:
@@ -43,10 +41,22 @@ def two_sided_p_rough(z: Column) -> Column:
     return 2 * F.exp(-z * z / 2)
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail. No SQL function gives erfc."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0: one less a series of positive terms below 2.5, a continued fraction beyond."""
+    square = x * x
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(x.alias("sum"), x.alias("term")),
+        lambda a, k: F.struct((a["sum"] + a["term"] * 2 * square / (2 * k + 1)).alias("sum"), (a["term"] * 2 * square / (2 * k + 1)).alias("term")),
+    )["sum"]
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), F.lit(1.0), lambda a, k: 1 + k / (2 * square * a))
+    small = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * series
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x < 2.5, small).otherwise(F.exp(-square) / (x * math.sqrt(math.pi) * fraction))
+
+
+def two_sided_p(z: Column) -> Column:
+    """Two-sided normal tail."""
+    return erfc(F.abs(z) / math.sqrt(2))
 
 
 def chi2_tail(x: Column, df: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +28,16 @@ def bursty_loss(frames: DataFrame, pct: float, stay: float, seed: int) -> DataFr
     if share <= 0 or share >= 1:
         return frames.withColumn("lost", F.lit(int(share >= 1)))
     fail = min(1.0, max(1e-6, share * stay / (1 - share)))
-    one = frames.select("clip", "frame").distinct().groupBy("clip").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
-    draws = F.transform("frames", lambda f: F.struct(f.alias("frame"), uniform("clip", f, seed=seed).alias("u")))
-    def walk(acc, d):
-        before = F.element_at(acc, -1)["lost"]
-        lost = F.when(F.size(acc) == 0, (d["u"] < share).cast("int")).when(before == 1, (d["u"] >= stay).cast("int")).otherwise((d["u"] < fail).cast("int"))
-        return F.concat(acc, F.array(F.struct(d["frame"].alias("frame"), lost.alias("lost"))))
-    empty = F.array().cast("array<struct<frame:bigint,lost:int>>")
-    states = one.select("clip", F.inline(F.aggregate(draws, empty, walk)))
+    # What a draw does to the state: it sets it, keeps it, or turns it over. The state is what was last set, turned over
+    # as often as turns followed.
+    first = F.row_number().over(S.in_clip("frame")) == 1
+    u = uniform("clip", "frame", seed=seed)
+    from_good, from_lost = u < fail, u >= stay
+    one = frames.select("clip", "frame").distinct().withColumn("set", F.when(first, u < share).when(from_good == from_lost, from_good)).withColumn("turn", (~first & from_good & ~from_lost).cast("int"))
+    w = S.in_clip("frame").rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("turns", F.sum("turn").over(w))
+    one = one.withColumn("base", F.last(F.when(F.col("set").isNotNull(), F.struct(F.col("set").cast("int").alias("s"), "turns")), True).over(w))
+    states = one.select("clip", "frame", F.pmod(F.col("base.s") + F.col("turns") - F.col("base.turns"), F.lit(2)).cast("int").alias("lost"))
     return frames.join(states, ["clip", "frame"])
 
 
@@ -70,9 +74,22 @@ def noisy(seq: DataFrame, value: str, noise: str, snr_db: float, frame: int) ->
 
 
 def best_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """clip, lag: the shift of b (clip, i, x) in 0..most that correlates most with a; a band join on clip and place."""
-    lags = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag")
-    left = a.select("clip", F.col("i"), F.col("x").alias("xa"), lags).withColumn("at", F.col("i") + F.col("lag"))
-    right = b.select("clip", F.col("i").alias("at"), F.col("x").alias("xb"))
-    corr = left.join(right, ["clip", "at"]).groupBy("clip", "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("corr"))
-    return corr.groupBy("clip").agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("lag"))
+    """clip, lag: the shift of b (clip, i, x) in 0..most that correlates most with a, the smallest on ties. Samples are
+    shuffled once, by clip; the lags are run through where the clip's samples are."""
+    kind = a.schema["clip"].dataType.simpleString()
+
+    def dense(pdf: pd.DataFrame, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        at = pdf["i"].to_numpy(np.int64)
+        out[at] = pdf["x"].to_numpy(float)
+        return out
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"clip": [], "lag": []})
+        n = int(max(one["i"].max(), two["i"].max())) + 1
+        x, y = dense(one, n), dense(two, n)
+        corr = [float(x[: n - k] @ y[k:]) for k in range(min(most, n - 1) + 1)]
+        return pd.DataFrame({"clip": one["clip"].iloc[:1], "lag": [int(np.argmax(corr))]})
+
+    return a.select("clip", "i", "x").groupBy("clip").cogroup(b.select("clip", "i", "x").groupBy("clip")).applyInPandas(run, f"clip {kind}, lag int")

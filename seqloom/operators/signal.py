@@ -35,9 +35,15 @@ def lpc2(correlations: DataFrame) -> DataFrame:
     return correlations.withColumn("a1", F.when(ok, r1 * (r0 - r2) / d).otherwise(0.0)).withColumn("a2", F.when(ok, (r0 * r2 - r1 * r1) / d).otherwise(0.0))
 
 
-def residual2(seq: DataFrame, value: str, frame: int) -> DataFrame:
-    """With `e`: what order-2 prediction leaves; the history crosses frames and is silent before the clip."""
-    coefficients = lpc2(autocorrelation(seq, value, frame, 2)).select("clip", "frame", "a1", "a2")
+def rounded(correlations: DataFrame, digits: int) -> DataFrame:
+    """With r0, r1 ... rounded: nearly singular frames magnify the order of summation, which engines are free to choose."""
+    return correlations.withColumns({c: F.round(c, digits) for c in correlations.columns if c[0] == "r" and c[1:].isdigit()})
+
+
+def residual2(seq: DataFrame, value: str, frame: int, digits: int = 9) -> DataFrame:
+    """With `e`: what order-2 prediction leaves; the history crosses frames and is silent before the clip. Correlations
+    are rounded to `digits`."""
+    coefficients = lpc2(rounded(autocorrelation(seq, value, frame, 2), digits)).select("clip", "frame", "a1", "a2")
     w = S.in_clip()
     rows = S.framed(seq, frame).withColumn("_1", F.coalesce(F.lag(value, 1).over(w), F.lit(0.0))).withColumn("_2", F.coalesce(F.lag(value, 2).over(w), F.lit(0.0)))
     return rows.join(coefficients, ["clip", "frame"]).withColumn("e", F.col(value) - F.col("a1") * F.col("_1") - F.col("a2") * F.col("_2")).drop("_1", "_2")

@@ -381,7 +381,7 @@ def actual_loss(spark, d):
 # linear prediction
 
 R_SQL = E_SQL + ", v AS (SELECT clip, i, i // 10 AS frame, (x - 250) / 250 AS x FROM e), l AS (SELECT clip, frame, x, lag(x, 1) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM v WINDOW w AS (PARTITION BY clip, frame ORDER BY i)), r AS (SELECT clip, frame, sum(x * x) AS r0, coalesce(sum(x * x1), 0) AS r1, coalesce(sum(x * x2), 0) AS r2 FROM l GROUP BY ALL)"
-A_SQL = ", a AS (SELECT clip, frame, CASE WHEN r0 > 0 AND pow(r0 * (1 + 1e-9), 2) - r1 * r1 > 0 THEN r1 * (r0 * (1 + 1e-9) - r2) / (pow(r0 * (1 + 1e-9), 2) - r1 * r1) ELSE 0 END AS a1, CASE WHEN r0 > 0 AND pow(r0 * (1 + 1e-9), 2) - r1 * r1 > 0 THEN (r0 * (1 + 1e-9) * r2 - r1 * r1) / (pow(r0 * (1 + 1e-9), 2) - r1 * r1) ELSE 0 END AS a2 FROM r)"
+A_SQL = ", a AS (SELECT clip, frame, CASE WHEN r0 > 0 AND r0 * (1 + 1e-9) * (r0 * (1 + 1e-9)) - r1 * r1 > 0 THEN r1 * (r0 * (1 + 1e-9) - r2) / (r0 * (1 + 1e-9) * (r0 * (1 + 1e-9)) - r1 * r1) ELSE 0 END AS a1, CASE WHEN r0 > 0 AND r0 * (1 + 1e-9) * (r0 * (1 + 1e-9)) - r1 * r1 > 0 THEN (r0 * (1 + 1e-9) * r2 - r1 * r1) / (r0 * (1 + 1e-9) * (r0 * (1 + 1e-9)) - r1 * r1) ELSE 0 END AS a2 FROM r)"
 
 
 def _centred(spark, d):
@@ -393,18 +393,18 @@ def autocorr(spark, d):
     return signal.autocorrelation(_centred(spark, d), "x", 10, 2).select("clip", "frame", *(r6(c).alias(c) for c in ("r0", "r1", "r2")))
 
 
-@query(f"WITH {R_SQL}{A_SQL} SELECT clip, frame, round(a1, 5) AS a1, round(a2, 5) AS a2 FROM a WHERE abs(a1) < 100")
+@query(f"WITH {R_SQL}{A_SQL} SELECT clip, frame, round(a1, 5) AS a1, round(a2, 5) AS a2 FROM a")
 def lpc_order2(spark, d):
-    t = signal.lpc2(signal.autocorrelation(_centred(spark, d), "x", 10, 2)).where("abs(a1) < 100")
+    t = signal.lpc2(signal.rounded(signal.autocorrelation(_centred(spark, d), "x", 10, 2), 9))
     return t.select("clip", "frame", F.round("a1", 5).alias("a1"), F.round("a2", 5).alias("a2"))
 
 
 @query(f"""
 WITH {R_SQL}{A_SQL}, h AS (SELECT clip, i, frame, x, coalesce(lag(x, 1) OVER w, 0) AS h1, coalesce(lag(x, 2) OVER w, 0) AS h2 FROM v WINDOW w AS (PARTITION BY clip ORDER BY i))
-SELECT h.clip, i, round(x - a1 * h1 - a2 * h2, 5) AS e FROM h JOIN a USING (clip, frame) WHERE abs(a1) < 100
+SELECT h.clip, i, round(x - a1 * h1 - a2 * h2, 5) AS e FROM h JOIN a USING (clip, frame)
 """)
 def lpc_residual(spark, d):
-    return signal.residual2(_centred(spark, d), "x", 10).where("abs(a1) < 100").select("clip", "i", F.round("e", 5).alias("e"))
+    return signal.residual2(_centred(spark, d), "x", 10).select("clip", "i", F.round("e", 5).alias("e"))
 
 
 @query(f"""

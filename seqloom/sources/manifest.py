@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 def load(spark: SparkSession, path: str, split: str | None = None, label: str | None = None) -> DataFrame:
     """The manifest; filters reach the Parquet scan. A split of `all`, or one that the table has no column for, filters nothing."""
@@ -28,8 +30,10 @@ def capped(rows: DataFrame, speaker: str, label: str, order: list[str], per_spea
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, per_task: int = 100_000) -> DataFrame:
-    """With the rows' places in the given order, from 0: rows are dealt by ranges of the order, and only the ranges' sizes meet in one task."""
-    ranged = rows.repartitionByRange(max(1, -(-rows.count() // per_task)), *order).withColumn("_r", F.spark_partition_id())
+    """With the rows' places in the given order, from 0: rows are dealt by ranges of the order, and only the ranges'
+    sizes meet in one task. The ranges are drawn from a sample, anew in every plan; the dealt table is therefore written
+    once, so that sizes and rows are of the same ranges."""
+    ranged = stored(rows.repartitionByRange(max(1, -(-rows.count() // per_task)), *order).withColumn("_r", F.spark_partition_id()))
     sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return ranged.join(F.broadcast(sizes), "_r").withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1).drop("_r", "_b")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 from collections.abc import Iterator
 
@@ -51,6 +52,22 @@ def bit_string(text: Column) -> Column:
 LFSR_TAPS = (31, 21, 1, 0)
 
 
+def feedback_register(seed: int, n: int) -> np.ndarray:
+    """n bits of the register: each is the sum modulo 2 of the bits tap + 1 places before it, the register's own 32
+    being before the second. The same sum holds for places 2, 4, 8 ... times as far, so that ever longer runs are added at once."""
+    state = seed & 0xFFFFFFFF or 1
+    out = np.empty(max(n, 1) + 31, np.uint8)
+    out[:32] = [state >> k & 1 for k in range(31, -1, -1)]
+    at, step = 32, 1
+    while at < len(out):
+        while at >= 2 * step * (max(LFSR_TAPS) + 1):
+            step *= 2
+        end = min(at + step, len(out))
+        out[at:end] = np.bitwise_xor.reduce([out[at - (t + 1) * step : end - (t + 1) * step] for t in LFSR_TAPS])
+        at = end
+    return out[31 : 31 + n]
+
+
 def generated_bits(spark: SparkSession, kind: str, n: int, seeds: list[int]) -> DataFrame:
     """clip, i, bit: n bits from each seed. kind: urandom, mt (Mersenne Twister) or lfsr (32-bit feedback register)."""
     if kind not in ("urandom", "mt", "lfsr"):
@@ -58,17 +75,10 @@ def generated_bits(spark: SparkSession, kind: str, n: int, seeds: list[int]) ->
 
     def one(seed: int) -> np.ndarray:
         if kind == "urandom":
-            return np.unpackbits(np.frombuffer(np.random.bytes(-(-n // 8)), np.uint8))[:n]
+            return np.unpackbits(np.frombuffer(os.urandom(-(-n // 8)), np.uint8))[:n]
         if kind == "mt":
             return np.random.Generator(np.random.MT19937(seed)).integers(0, 2, n, dtype=np.uint8)
-        state, out = seed & 0xFFFFFFFF or 1, np.empty(n, np.uint8)
-        for k in range(n):
-            new = 0
-            for tap in LFSR_TAPS:
-                new ^= state >> tap
-            out[k] = state & 1
-            state = ((state << 1) | (new & 1)) & 0xFFFFFFFF
-        return out
+        return feedback_register(seed, n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -55,3 +55,21 @@ def test_resampling_and_noise():
     assert abs(peak - 440) <= 5
     n = pink_noise(4096, 1)
     assert abs(n.mean()) < 1e-9 and abs(n.std() - 1) < 1e-9
+
+
+def test_erfc(spark):
+    import math
+
+    xs = [0.0, 1e-9, 0.1, 0.7, 1.5, 2.4999, 2.5, 3.0, 6.0, 12.0, 26.0]
+    t = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select("x", scalars.erfc(F.col("x")).alias("y"), scalars.two_sided_p(-F.col("x")).alias("p"))
+    for r in t.collect():
+        if r["x"] is None:
+            assert r["y"] is None and r["p"] is None
+        else:
+            assert r["y"] == pytest.approx(math.erfc(r["x"]), rel=1e-11) and r["p"] == pytest.approx(math.erfc(r["x"] / math.sqrt(2)), rel=1e-11)
+
+
+def test_many_modifiers(spark):
+    text = "g711a" + "+loss1" * 120
+    got = spark.createDataFrame([(text + "+loss7",), (text + "+nonsense",)], "s string").select(channel_spec.parse(F.col("s")).alias("p")).collect()
+    assert got[0]["p"]["loss_pct"] == 7.0 and not got[1]["p"]["valid"]

@@ -154,3 +154,39 @@ def test_sources(spark, tmp_path):
         bits = signals.generated_bits(spark, kind, 2000, [1, 2])
         assert bits.count() == 4000 and 0.4 < bits.agg(F.avg("bit")).first()[0] < 0.6
     assert signals.vowel(spark, seconds=0.5).agg(F.max("x")).first()[0] > 0
+
+
+def test_numbered_over_many_ranges(spark):
+    rows = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.concat(F.lit("wide "), F.col("id")).alias("extra"))
+    got = manifest.numbered(rows, ["k"], "at", per_task=5_000)
+    assert got.count() == 200_000 and got.select("at").distinct().count() == 200_000
+    ordered = got.select("k", "at").orderBy("k").collect()
+    assert [r["at"] for r in ordered] == list(range(200_000))
+
+
+def test_bursty_loss_is_the_two_state_chain(spark):
+    frames = spark.range(3000).select((F.col("id") % 3).alias("clip"), F.floor(F.col("id") / 3).alias("frame"))
+    for pct, stay in ((10.0, 0.3), (45.0, 0.9), (80.0, 0.5)):
+        rows = channel.bursty_loss(frames, pct, stay, 5).withColumn("u", channel.uniform("clip", "frame", seed=5)).orderBy("clip", "frame").collect()
+        share = pct / 100
+        fail = min(1.0, share * stay / (1 - share))
+        state, clip = None, None
+        for r in rows:
+            if r["clip"] != clip:
+                clip, state = r["clip"], int(r["u"] < share)
+            else:
+                state = int(r["u"] >= stay) if state else int(r["u"] < fail)
+            assert r["lost"] == state
+
+
+def test_feedback_register_bit_by_bit():
+    for seed in (1, 42, 2**31 + 5):
+        state, expected = seed, []
+        for _ in range(5000):
+            new = 0
+            for tap in signals.LFSR_TAPS:
+                new ^= state >> tap
+            expected.append(state & 1)
+            state = ((state << 1) | (new & 1)) & 0xFFFFFFFF
+        assert signals.feedback_register(seed, 5000).tolist() == expected
+    assert len(signals.feedback_register(7, 0)) == 0 and len(signals.feedback_register(7, 1)) == 1
