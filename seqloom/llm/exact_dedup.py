@@ -1,32 +1,43 @@
 """Exact deduplication (operator 8).
 
 Rows are grouped by the 128-bit MD5 of their text; only rows of groups with several members then bring their text,
-which is compared by grouping on (hash, text) with a partial aggregation in each task, so that a group of any size
-arrives at the reducers as one row a task. Equal hashes of different texts therefore make different groups.
+which is compared by grouping on (hash, text). Equal hashes of different texts therefore make different groups. The
+members of a hot hash, one with at least `hot_rows` rows and a thousandth of all rows, are dealt to salts in proportion to
+its count, so that a task gets about `hot_rows / 10` of them, and each salt sends one row a text on. There are at most a thousand hot hashes, whatever the data:
+that table alone is broadcast.
 
-Null texts count as empty. Repeated rows count each; rows that repeat a doc_id share its verdict. A null doc_id loses
-against any other. Empty tables give empty results; other columns are ignored by `groups` and kept by `deduplicate`.
+Null texts count as empty. Repeated rows count each; rows that repeat a doc_id share its verdict in `groups`. Of rows that repeat doc_id and
+text `deduplicate` keeps one. A null doc_id loses against any other. Empty tables give empty results; other columns are
+ignored by `groups` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
+from .session import stored
 
 
-def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def groups(docs: DataFrame, keep: str = "max", hot_rows: int = 10_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
 
-    keep: "min" or "max" of doc_id is the row that stays."""
+    keep: "min" or "max" of doc_id is the row that stays. hot_rows: see above."""
     pick = {"min": F.min, "max": F.max}[keep]
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = _text()
     hashed = docs.select("doc_id", F.unhex(F.md5(text)).alias("_h"), F.unhex(F.sha2(text, 256)).alias("_s"))
-    several = docs.select(F.unhex(F.md5(text)).alias("_h")).groupBy("_h").count().where("count > 1").select("_h")
-    # salted, so that the members of a large group are spread until they are one row a salt
-    salts = several.select("_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_z"))
-    members = docs.select("doc_id", text.alias("_t"), F.unhex(F.md5(text)).alias("_h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_z")).join(salts, ["_h", "_z"], "left_semi")
+    several = stored(docs.select(F.unhex(F.md5(text)).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"))
+    copies = several.agg(F.sum("_c")).first()[0] or 0
+    # of keys with a thousandth of all copies or more there are a thousand at most
+    hot = several.where(F.col("_c") >= max(hot_rows, -(-copies // 1000))).select("_h", F.ceil(F.col("_c") * 10 / hot_rows).cast("int").alias("_p"))
+    parts = F.coalesce("_p", F.lit(1))
+    salts = several.select("_h").join(F.broadcast(hot), "_h", "left").select("_h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_z"))
+    members = docs.select("doc_id", text.alias("_t"), F.unhex(F.md5(text)).alias("_h")).join(F.broadcast(hot), "_h", "left")
+    members = members.withColumn("_z", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("_p").join(salts, ["_h", "_z"], "left_semi")
     part = members.groupBy("_h", "_z", "_t").agg(pick("doc_id").alias("_k"), F.count(F.lit(1)).alias("_n"))
     equal = part.groupBy("_h", "_t").agg(pick("_k").alias("_k"), F.sum("_n").alias("_n"))
     # A class is found again by both hashes; should two different texts share both, the query stops rather than err.
@@ -45,10 +56,18 @@ def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """docs without the rows whose text a kept row has too; all columns stay."""
-    gone = groups(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_hash"))
-    text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text == gone["_hash"]), "left_anti")
+    """One row of docs for each text, with all columns; of rows that repeat doc_id and text any one."""
+    verdicts = groups(docs, keep)
+    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_hash"))
+    text = F.unhex(F.sha2(_text(), 256))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text == gone["_hash"]), "left_anti")
+    again = stored(docs.select("doc_id", text.alias("_hash")).groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("doc_id").alias("_again"), "_hash"))
+    if again.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(again["_again"]) & (text == again["_hash"])
+    # a task sends one row of each repeated one on, however often it has it
+    one = left.join(again, same, "left_semi").withColumn("_own_hash", text).dropDuplicates(["doc_id", "_own_hash"]).drop("_own_hash")
+    return left.join(again, same, "left_anti").unionByName(one)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
