@@ -26,6 +26,7 @@ from .session import small_batches, stored
 from .text import U, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
+RANGES = 1024
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -42,12 +43,17 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
     return [most * n if i in full else x for i, (n, x) in enumerate(zip(sizes, out, strict=True))]
 
 
-def running_totals(df: DataFrame, group: str, bucket: str, order: Sequence[str], value: str) -> DataFrame:
+def running_totals(df: DataFrame, group: str, bucket: str, order: Sequence[str], value: str, buckets: int) -> DataFrame:
     """df with `before`, the sum of value over earlier rows of its group, in order of (bucket, *order).
 
-    Only the totals of a group's buckets meet in one task; its rows are summed bucket by bucket."""
-    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
-    sums = sums.select(group, bucket, (F.sum("_sum").over(Window.partitionBy(group).orderBy(bucket)) - F.col("_sum")).alias("_base"))
+    buckets: above any bucket's number. A group's buckets are summed range by range, at most `RANGES` of them; only the
+    ranges' totals meet in one task, then the buckets of a range, then the rows of a bucket."""
+    width = max(1, -(-buckets // RANGES))
+    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum")).withColumn("_range", F.floor(F.col(bucket) / width))
+    tops = sums.groupBy(group, "_range").agg(F.sum("_sum").alias("_top"))
+    tops = tops.select(group, "_range", (F.sum("_top").over(Window.partitionBy(group).orderBy("_range")) - F.col("_top")).alias("_start"))
+    inside = F.sum("_sum").over(Window.partitionBy(group, "_range").orderBy(bucket)) - F.col("_sum")
+    sums = sums.withColumn("_base", inside).join(tops, [group, "_range"]).select(group, bucket, (F.col("_start") + F.col("_base")).alias("_base"))
     inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_in", F.sum(value).over(inner) - F.col(value)).join(sums, [group, bucket]).withColumn("before", F.col("_base") + F.col("_in")).drop("_in", "_base")
 
@@ -111,17 +117,19 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
         more = -(-rest // block)
         plan.append((i, name, size, float(aim), n, turns * n + more, rest - (more - 1) * block if more else block))
     sources = spark.createDataFrame(plan or [], "src int, source string, source_size long, target double, blocks long, quota long, last long")
-    placed = sized.join(F.broadcast(sources.select("src", "source", "source_size", "target").withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = sized.join(sources.select("src", "source", "source_size", "target").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     buckets = max(1, sum(r[2] for r in found) // 1024)
-    placed = running_totals(placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), "src", "bucket", ["doc_id", "text_hash"], "size").drop("bucket")
+    placed = running_totals(placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), "src", "bucket", ["doc_id", "text_hash"], "size", buckets).drop("bucket")
     slots = sum(p[5] for p in plan)
     shards = -(-slots // per_shard)
     shares = [p[5] / slots for p in plan] if slots else []
     draws = spark.range(0, shards, 1, max(1, min(shards, 1000))).mapInPandas(_drawn(shares, slots, per_shard, seed), "src int, shard long, n long")
     draws = draws.unionByName(sources.select("src", F.lit(shards).cast("long").alias("shard"), F.col("quota").alias("n")))  # the closing shard could fill any quota
-    numbered = running_totals(draws.withColumn("bucket", F.floor(F.col("shard") / 1024)), "src", "bucket", ["shard"], "n").join(F.broadcast(sources), "src")
+    numbered = running_totals(draws.withColumn("bucket", F.floor(F.col("shard") / 1024)), "src", "bucket", ["shard"], "n", shards // 1024 + 1).join(sources, "src")
     runs = numbered.select("src", "shard", "blocks", "quota", "last", F.col("before").alias("first"), F.least("quota", F.col("before") + F.col("n")).alias("end")).where("first < end")
     runs = runs.withColumn("first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(per_shard).cast("long")))).withColumn("end", F.least("end", F.col("first") + per_shard))
+    # a run of few bytes becomes `per_shard` slots: as many tasks as there are runs, about, whatever their bytes
+    runs = runs.repartition(max(1, min(shards + len(plan), 10_000)), "src", "first")
     takes = runs.mapInPandas(_slots(block, seed), "src int, shard long, slot long, turn long, blk long, words long")
     return placed, takes
 
