@@ -44,9 +44,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """text: symbols 1..top, 0 after each sequence."""
+    """text: symbols 1..top, 0 after each sequence. values: a number for each place of the text, of which intervals know the least."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, values: np.ndarray | None = None):
         n = self.n = len(text)
         self.depth = depth
         ranks, h = [text.astype(np.int64)], 1
@@ -56,9 +56,9 @@ class FMIndex:
             after[: n - h] = r[h:] + 1 if n > h else 0
             ranks.append(np.unique(r * (int(r.max()) + 2) + after, return_inverse=True)[1])
             h *= 2
-        self.suffixes = np.argsort(ranks[-1], kind="stable")
+        suffixes = np.argsort(ranks[-1], kind="stable")
         # symbols that neighbours in suffix order have in common, at most depth
-        a, b = self.suffixes[:-1], self.suffixes[1:]
+        a, b = suffixes[:-1], suffixes[1:]
         common = np.zeros(len(a), np.int64)
         for k in range(len(ranks) - 1, -1, -1):
             x, y = a + common, b + common
@@ -70,7 +70,11 @@ class FMIndex:
         top = int(text.max()) if n else 0
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top + 1))))
         self.top = top
-        self.bwt = WaveletMatrix(text[self.suffixes - 1], top)
+        self.bwt = WaveletMatrix(text[suffixes - 1], top)
+        # of each set of suffixes that share `depth` symbols the least value; the suffixes themselves are not kept
+        self.edge, _, of = self.groups(depth)
+        self.of = of.astype(np.int32)
+        self.least = None if values is None else np.minimum.reduceat(values[suffixes], self.edge) if n else np.zeros(0, np.int64)
         self._mins: list[np.ndarray] = []
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +109,9 @@ class FMIndex:
 
     def statistics(self, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of the streams patterns[starts[i]:ends[i]]: for each place the length, at most `most`
-        (below depth), of the longest match that begins there, and a suffix in the interval of that match. Symbols
+        (below depth), of the longest match that begins there, and the start of that match's interval. Symbols
         that the index has not are given as 0. All streams advance together, from their ends."""
-        size, suffix = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        size, found = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
         low, high, of = self.groups(most - 1)
         order = np.argsort(starts - ends, kind="stable")  # longest first
         starts, ends = starts[order], ends[order]
@@ -132,8 +136,8 @@ class FMIndex:
                 if len(todo):
                     todo = todo[length[todo] > 0]
                     lo[todo], hi[todo], length[todo] = self.shrink(lo[todo], hi[todo])
-            size[at], suffix[at] = length[:live], lo[:live]
+            size[at], found[at] = length[:live], lo[:live]
             full = np.flatnonzero(length[:live] >= most)  # patterns stay below the depth
             g = of[lo[full]]
             lo[full], hi[full], length[full] = low[g], high[g], most - 1
-        return size, suffix
+        return size, found

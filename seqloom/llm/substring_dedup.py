@@ -8,8 +8,9 @@ document with a smaller doc_id.
 2. Runs whose minimizer only one document has are done. Equal runs of several documents are one piece from here on,
    with the smallest doc_id of them.
 3. Pieces go to shards by their minimizer, so that equal windows meet in one shard. Minimizers with more pieces than
-   `heavy` are dealt window by window to several shards, by the window's hash.
-4. Each shard builds a compressed FM-index of its pieces, and all pieces are streamed through it by backward search.
+   `heavy` are cut into single windows; equal ones are merged, each task's own before they are sent, and the different ones dealt by their hash. A
+   shard therefore holds no window of a heavy minimizer twice, however many documents share it.
+4. Each shard builds a compressed FM-index of its pieces and streams them through it by backward search.
    Where the matching statistics reach the window's length, the interval's smallest doc_id is reported.
 5. The reported intervals go back to the documents' runs, and a word is removed where a window's smallest doc_id is
    below the document's own.
@@ -34,7 +35,8 @@ from .fm_index import FMIndex
 from .session import small_batches, stored
 from .text import BASE, INVERSE, U, blocks, covered, mix, per_row, powers, windows, word_hashes, words
 
-POSITION_BITS = 28
+#: Bits of a word's place in its text: no text that Spark can hold has 2^31 words.
+POSITION_BITS = 31
 
 
 def minimizer_runs(h: np.ndarray, row: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,17 +89,16 @@ def _runs(window: int, seed: int):
                 gram, content, first, count = minimizer_runs(word_hashes(data, start, end), row, window, seed)
                 owner = row[first]
                 begin = np.searchsorted(row, np.arange(b - a))
-                place = ((first - begin[owner]) << 32) | tag[a:b][owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count.astype(np.int32)), batch.column("doc_id").slice(a, b - a).take(pa.array(owner)), pa.array(place.astype(np.int64))],
-                    ["gram", "content", "n", "doc_id", "place"],
+                    [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count.astype(np.int32)), batch.column("doc_id").slice(a, b - a).take(pa.array(owner)), pa.array(tag[a:b][owner]), pa.array((first - begin[owner]).astype(np.int32))],
+                    ["gram", "content", "n", "doc_id", "tag", "start"],
                 )
 
     return run
 
 
 def _pieces(window: int):
-    """The words of the wanted pieces of each document, as hashes; heavy ones window by window."""
+    """The words of the wanted pieces of each document, as hashes; heavy ones window by window, under the window's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,12 +112,12 @@ def _pieces(window: int):
                     own = h[begin[r - a] : begin[r - a + 1]]
                     for w in wanted[r]:
                         part = own[w["start"] : w["start"] + w["n"] + window - 1]
-                        if w["ways"] == 1:
-                            out.append((w["shard"], w["gram"], w["content"], w["n"], 0, w["low"], part.tobytes()))
-                        else:
+                        if w["heavy"]:
                             _, x = windows(part, np.zeros(len(part), np.int64), window)
-                            for j in range(w["n"]):
-                                out.append((w["shard"] + 1 + int(x[j] % U(w["ways"])), w["gram"], w["content"], w["n"], j, w["low"], part[j : j + window].tobytes()))
+                            for j, h_j in enumerate(x.view(np.int64).tolist()):
+                                out.append((h_j, w["gram"], w["content"], w["n"], j, w["low"], part[j : j + window].tobytes()))
+                        else:
+                            out.append((w["shard"], w["gram"], w["content"], w["n"], -1, w["low"], part.tobytes()))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECE.types, strict=True)], schema=PIECE)
 
@@ -137,17 +138,15 @@ def report(sequences: list[np.ndarray], low: np.ndarray, window: int) -> list[np
     inner[ends] = False
     text[inner] = ids + 1
     del ids, names
-    index = FMIndex(text, window)
-    size, suffix = index.statistics(text, starts, ends, window)
-    edge, _, of = index.groups(window)
-    least = np.minimum.reduceat(np.repeat(low, sizes + 1)[index.suffixes], edge)
-    found = np.where(size >= window, least[of[suffix]], np.iinfo(np.int64).max)
+    index = FMIndex(text, window, np.repeat(low, sizes + 1))
+    size, at = index.statistics(text, starts, ends, window)
+    found = np.where(size >= window, index.least[index.of[at]], np.iinfo(np.int64).max)
     return [found[s : e - window + 1] for s, e in zip(starts, ends, strict=True)]
 
 
 def _shard(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gram", "content", "skip"], ignore_index=True)
+        pdf = pdf.sort_values(["gram", "content"], ignore_index=True)
         found = report([np.frombuffer(x, U) for x in pdf["words"]], pdf["low"].to_numpy(np.int64), window)
         count = np.array([len(x) for x in found])
         flat = np.concatenate(found)
@@ -156,7 +155,7 @@ def _shard(window: int):
         new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
         who = owner[first]
-        inside = first - (np.cumsum(count) - count)[who] + pdf["skip"].to_numpy(np.int64)[who]
+        inside = first - (np.cumsum(count) - count)[who]
         return pd.DataFrame({"gram": pdf["gram"].to_numpy()[who], "content": pdf["content"].to_numpy()[who], "n": pdf["n"].to_numpy()[who], "first": inside, "last": inside + np.diff(np.append(first, len(flat))) - 1, "least": flat[first]})
 
     return run
@@ -194,29 +193,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 8, shard_words
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
-    runs = stored(docs.where("doc_id IS NOT NULL").mapInArrow(_runs(window, seed), "gram long, content long, n int, doc_id long, place long"))
-    shared = runs.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    # The tables that joins have on their narrow side are written first: of known size, and with nothing between shuffle
+    # and join, so that adaptive execution splits a hot minimizer's rows.
+    runs = stored(docs.where("doc_id IS NOT NULL").mapInArrow(_runs(window, seed), "gram long, content long, n int, doc_id long, tag long, start int"))
+    shared = stored(runs.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram"))
     runs = stored(runs.join(shared, "gram", "left_semi"))
-    pieces = runs.groupBy("gram", "content", "n").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("gram", "content", "n", F.col("m.doc_id").alias("low"), F.col("m.place").alias("place"))
+    pieces = runs.groupBy("gram", "content", "n").agg(F.min(F.struct("doc_id", "tag", "start")).alias("m")).select("gram", "content", "n", F.col("m.doc_id").alias("low"), F.col("m.tag").alias("tag"), F.col("m.start").alias("start"))
     pieces = stored(pieces)
-    per_gram = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    total = pieces.join(per_gram.where("c > 1"), "gram").agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    several = pieces.join(per_gram.where("c > 1"), "gram")
-    ways = F.when(F.col("c") > heavy, F.ceil(F.col("c") * (window + 1) * 16 / F.lit(shard_words))).otherwise(1).cast("long")
-    # heavy minimizers have shards of their own, numbered below zero
-    shard = F.when(F.col("c") > heavy, -F.xxhash64("gram").bitwiseAND(F.lit((1 << 62) - 1)) - (1 << 20)).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    wanted = several.groupBy(F.col("low").alias("doc_id"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")).agg(
-        F.collect_list(F.struct(shard.alias("shard"), "gram", "content", "n", F.shiftright("place", 32).cast("int").alias("start"), "low", F.when(F.col("c") > heavy, F.greatest(ways, F.lit(2))).otherwise(1).alias("ways"))).alias("wanted")
-    )
-    held = docs.where("doc_id IS NOT NULL").join(wanted, ["doc_id", "tag"]).select("text", "wanted").mapInArrow(_pieces(window), "shard long, gram long, content long, n int, skip int, low long, words binary")
-    found = held.groupBy("shard").applyInPandas(_shard(window), "gram long, content long, n int, first long, last long, least long")
-    alone = pieces.join(per_gram.where("c = 1"), "gram").select("gram", "content", "n", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"), F.col("low").alias("least"))
-    least = stored(found.unionByName(alone))
+    crowded = stored(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy).select("gram", F.lit(True).alias("heavy")))
+    total = pieces.agg(F.sum((F.col("n") + window).cast("long"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-total // shard_words))))
+    dealt = pieces.join(crowded, "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    wanted = dealt.groupBy(F.col("low").alias("doc_id"), "tag").agg(F.collect_list(F.struct(shard.alias("shard"), "gram", "content", "n", "start", "low", "heavy")).alias("wanted"))
+    held = stored(docs.where("doc_id IS NOT NULL").join(wanted, ["doc_id", "tag"]).select("text", "wanted").mapInArrow(_pieces(window), "shard long, gram long, content long, n int, skip int, low long, words binary"))
+    reported = "gram long, content long, n int, first long, last long, least long"
+    found = held.where("skip < 0").groupBy("shard").applyInPandas(_shard(window), reported)
+    # windows of heavy minimizers: one row each different one
+    single = held.where("skip >= 0").groupBy(F.col("shard").alias("gram"), "words").agg(F.min("low").alias("low")).withColumns({"content": F.lit(0).cast("long"), "n": F.lit(1)})
+    single = stored(single)
+    shards = max(1, -(-single.count() * (window + 1) // shard_words))
+    known = single.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(window), reported)
+    known = stored(known.groupBy(F.col("gram").alias("shard")).agg(F.min("least").alias("least")))
+    place = F.col("skip").cast("long")
+    back = held.where("skip >= 0").select("shard", "gram", "content", "n", "skip").join(known, "shard").select("gram", "content", "n", place.alias("first"), place.alias("last"), "least")
+    least = stored(found.unionByName(back))
     hit = runs.join(least, ["gram", "content", "n"]).where("least < doc_id")
-    start = F.shiftright("place", 32)
-    gone = hit.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")).agg(F.collect_list(F.struct((start + F.col("first")).alias("x"), (start + F.col("last")).alias("y"))).alias("gone"))
+    gone = hit.groupBy("doc_id", "tag").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("x"), (F.col("start") + F.col("last")).alias("y"))).alias("gone"))
     return docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

@@ -28,10 +28,17 @@ def test_exact_odd_rows(spark, nothing):
     t = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None), (2, "b")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup.groups(t).collect())
     assert got == [(-1, 1, True), (-1, 3, False), (1, 3, True), (1, 3, True), (2, 1, True)]
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in exact_dedup.deduplicate(t).collect()) == [(-1, ""), (1, "a"), (1, "a"), (2, "b")]
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in exact_dedup.deduplicate(t).collect()) == [(-1, ""), (1, "a"), (2, "b")]
     assert exact_dedup.groups(nothing).count() == 0
 
 
+def test_hot_text_is_dealt_to_salts(spark):
+    t = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 6))).alias("text"))
+    plain, salted = ({tuple(r) for r in exact_dedup.groups(t, hot_rows=n).collect()} for n in (10_000, 20))
+    assert plain == salted and len(plain) == 3000
+    assert exact_dedup.deduplicate(t).count() == 501
+
+
 def linked(texts, k, threshold):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     sets = {}
@@ -137,6 +144,35 @@ def test_repeats(docs, texts, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_a_passage_of_many_documents_is_one_row_of_a_shard(spark, tmp_path, monkeypatch):
+    """The largest group that meets in one task does not grow with the documents that share a passage."""
+    inner = substring_dedup._shard
+
+    def counting(window):
+        run, place = inner(window), str(tmp_path)
+
+        def counted(pdf):
+            import uuid
+
+            with open(f"{place}/{len(pdf)}-{uuid.uuid4().hex}", "w"):
+                pass
+            return run(pdf)
+
+        return counted
+
+    monkeypatch.setattr(substring_dedup, "_shard", counting)
+    passage, largest = " ".join(f"p{i}" for i in range(60)), []
+    for n in (300, 1200):
+        for f in tmp_path.iterdir():
+            f.unlink()
+        rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(40)), passage, *(f"b{i}x{j}" for j in range(40))])) for i in range(n)]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), heavy=100, shard_words=20_000).collect()
+        assert sum(r["n_removed"] for r in got) == 60 * (n - 1)
+        runs = [int(f.name.split("-")[0]) for f in tmp_path.iterdir()]
+        largest.append(max(runs))
+    assert max(largest) < 2 * 20_000 / 51
+
+
 def test_repeats_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     t = spark.createDataFrame([(None, text), (2, text), (2, "before " + text), (3, text + " after")], "doc_id long, text string")
@@ -152,7 +188,8 @@ def test_index_statistics():
     patterns = rng.integers(0, 5, 300)
     patterns[100:140] = text[210:250]
     starts, ends = np.array([0, 90, 200]), np.array([90, 200, 300])
-    size, suffix = index.statistics(patterns, starts, ends, 10)
+    size, at = index.statistics(patterns, starts, ends, 10)
+    suffixes = sorted(range(400), key=lambda i: tuple(text[i : i + 12]))
     joined = "".join(map(str, text))
     for s, e in zip(starts, ends, strict=True):
         for p in range(s, e):
@@ -160,7 +197,7 @@ def test_index_statistics():
             while n < 10 and p + n < e and patterns[p + n] and "".join(map(str, patterns[p : p + n + 1])) in joined:
                 n += 1
             assert size[p] == n
-            assert (text[index.suffixes[suffix[p]] :][:n] == patterns[p : p + n]).all()
+            assert (text[suffixes[at[p]] :][:n] == patterns[p : p + n]).all()
     counts = Counter(text.tolist())
     for c in range(5):
         assert index.bwt.rank(np.array([c]), np.array([400]))[0] == counts[c]
