@@ -4,8 +4,8 @@ Base rules find assignments, access keys and long hexadecimal runs. A span is fo
 cutting at the marks, and adding up the lengths of the parts, so that positions are code points of the text.
 
 The method adds spans. Two character Markov models, one of random strings and one of ordinary identifiers, give each
-long token that mixes letters and digits a log-likelihood ratio, and those above `least_ratio` are spans of the kind `markov` unless they overlap a
-base span. The models are bigram counts, additively smoothed, of labelled samples: random strings are the values that
+token of 16 or more characters that mixes letters and digits, or lower and upper case, a log-likelihood ratio, and those above `least_ratio`
+(`no_digit` more without a digit) are spans of the kind `markov` unless they overlap a base span. The models are bigram counts, additively smoothed, of labelled samples: random strings are the values that
 the base rules find and strings made from digests; identifiers are the words of documents that no rule
 touches, but for those that are candidates themselves. The
 sample is the documents of about `most_learned` rows by a hash of their id, a bound on the classifier's sample only;
@@ -31,14 +31,30 @@ SYMBOLS = len(ALPHABET) + 1  # all others are one
 MARK = "\u0001"
 
 
+CHUNK = 256
+
+
+def running(values: Column, start: Column, combine) -> Column:
+    """The running combination (sum or maximum) of an array: chunk by chunk, then over the chunks' last values, so that
+    no array grows element by element beyond a chunk."""
+    def scan(array, first):
+        return F.aggregate(array, F.struct(first.alias("last"), F.slice(F.array(first), 1, 0).alias("all")), lambda a, x: F.struct(combine(a["last"], x).alias("last"), F.concat(a["all"], F.array(combine(a["last"], x))).alias("all")))["all"]
+
+    # each step is evaluated once: as a field of a one-element array that the next step maps over
+    chunks = F.transform(F.array(values), lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / CHUNK).cast("int")), lambda c: F.slice(v, c * CHUNK + 1, CHUNK)))
+    inner = F.transform(chunks, lambda cs: F.transform(cs, lambda c: scan(c, start)))
+    both = F.transform(inner, lambda cs: F.struct(cs.alias("inner"), scan(F.transform(cs, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), start)), start).alias("tops")))
+    done = F.transform(both, lambda z: F.flatten(F.transform(z["inner"], lambda c, i: F.transform(c, lambda x: combine(F.when(i > 0, F.element_at(z["tops"], F.greatest(i, F.lit(1)))).otherwise(start), x)))))
+    return F.element_at(done, 1)
+
+
 def found(text: Column, pattern: str, keep) -> Column:
     """array<struct<s, e, m>>: start, end and string of the leftmost non-overlapping matches that `keep` accepts; text has no MARK."""
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    # each step is evaluated once: as a field of a one-element array that the next step maps over
-    steps = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), F.aggregate(p, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))).alias("ends")))
+    ends = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), running(F.transform(p, lambda x: F.length(x)), F.lit(0), lambda x, y: x + y).alias("ends")))
     spans = F.flatten(
         F.transform(
-            steps,
+            ends,
             lambda z: F.transform(
                 F.sequence(F.lit(1), (F.size(z["parts"]) / 2).cast("int")),
                 lambda i: F.struct(F.element_at(z["ends"], 2 * i - 1).alias("s"), F.element_at(z["ends"], 2 * i).alias("e"), F.element_at(z["parts"], 2 * i).alias("m")),
@@ -49,6 +65,16 @@ def found(text: Column, pattern: str, keep) -> Column:
     return F.when(text.rlike(pattern), F.filter(spans, keep)).otherwise(none)
 
 
+def apart(spans: Column, base: Column) -> Column:
+    """The spans (s, e, m) that overlap none of `base` (s, k, e). All are sorted by place, a span by its end; those of
+    base that begin before it count, and it is apart if the furthest end among them is not beyond its start."""
+    starts = F.transform(base, lambda b: F.struct(b["s"].alias("p"), F.lit(1).alias("t"), b["e"].alias("v"), F.lit("").alias("m")))
+    asked = F.transform(spans, lambda x: F.struct(x["e"].alias("p"), F.lit(0).alias("t"), x["s"].alias("v"), x["m"].alias("m")))
+    sorted_ = F.transform(F.array(F.sort_array(F.concat(starts, asked))), lambda z: F.struct(z.alias("at"), running(F.transform(z, lambda x: F.when(x["t"] == 1, x["v"]).otherwise(0)), F.lit(0), lambda x, y: F.greatest(x, y)).alias("reach")))
+    kept = F.transform(sorted_, lambda z: F.filter(F.zip_with(z["at"], z["reach"], lambda x, r: F.struct(x["v"].alias("s"), x["p"].alias("e"), x["m"].alias("m"), ((x["t"] == 0) & (r <= x["v"])).alias("ok"))), lambda x: x["ok"]))
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), F.transform(F.flatten(kept), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))).otherwise(spans)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text (without marks) and the base spans in columns assign, access, hex."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, "\u0002")
@@ -75,7 +101,9 @@ def learn(docs: DataFrame, most_learned: int, made: int, seed: int) -> list[floa
     sample = scanned(docs.where(F.coalesce(place < min(1.0, most_learned / max(n, 1)), F.lit(False))))
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["m"], ASSIGN, 2)), F.transform("access", lambda x: x["m"]), F.transform("hex", lambda x: x["m"]))
     clean = (F.size("assign") + F.size("access") + F.size("hex")) == 0
-    rows = sample.select(F.when(clean, F.lit(0)).otherwise(F.lit(1)).alias("random"), F.explode(F.when(clean, F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_]{3,})"), F.lit(1)), lambda x: (F.length(x) < 16) | ~x.rlike("[0-9]"))).otherwise(values)).alias("token"))
+    tokens = sample.select(F.when(clean, F.lit(0)).otherwise(F.lit(1)).alias("random"), F.when(clean, F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_]{3,})"), F.lit(1)), lambda x: (F.length(x) < 16) | ~x.rlike("[0-9]"))).otherwise(values).alias("tokens"))
+    # apart from the arrays, so that an exploded row carries a number and a token only
+    rows = tokens.select("random", F.explode("tokens").alias("token"))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     strings = spark.range(0, made, 1, 4).select(F.lit(1).alias("random"), F.explode(F.array(digest, F.base64(F.unhex(digest)), F.upper(F.conv(F.substring(digest, 1, 12), 16, 36)), F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "[+/=]", ""))).alias("token"))
     counted = rows.unionByName(strings).select("random", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
@@ -94,19 +122,21 @@ def learn(docs: DataFrame, most_learned: int, made: int, seed: int) -> list[floa
     return [round(b - a, 6) for a, b in zip(ordinary, random, strict=True)]
 
 
-def scan(docs: DataFrame, least_ratio: float = 15.0, most_learned: int = 10_000, made: int = 2_000, seed: int = 17) -> DataFrame:
+def scan(docs: DataFrame, least_ratio: float = 15.0, no_digit: float = 10.0, most_learned: int = 10_000, made: int = 2_000, seed: int = 17) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     ratio = F.lit(learn(docs, most_learned, made, seed))
     base = scanned(docs)
-    long = found(F.col("text"), TOKEN, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    long = found(F.col("text"), TOKEN, lambda x: x["m"].rlike("[A-Za-z]") & (x["m"].rlike("[0-9]") | x["m"].rlike("[a-z][A-Z]")))
     of = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(c)).alias("k"), x["e"].alias("e")))
     spans = base.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.concat(of("assign"), of("access"), of("hex")).alias("base"), long.alias("long"))
     total = lambda m: F.aggregate(pairs(m), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, i + 1))
-    fresh = F.filter("long", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (total(x["m"]) > least_ratio))
+    # without a digit a token is more often a compound name: it needs a higher ratio
+    needed = lambda m: F.when(m.rlike("[0-9]"), F.lit(least_ratio)).otherwise(F.lit(least_ratio + no_digit))
+    fresh = F.filter(apart(F.col("long"), F.col("base")), lambda x: total(x["m"]) > needed(x["m"]))
     spans = spans.withColumn("extra", F.transform(fresh, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e"))))
     names = F.array(*map(F.lit, KINDS))
-    listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    listed = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.size("extra").cast("long").alias("n_markov"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans"))
 
 
