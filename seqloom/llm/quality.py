@@ -76,15 +76,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("host").slice(a, b - a), *values], ["doc_id", "host", *NAMES])
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """host, documents, failures, rate (shrunk) from judged (host, base_failed)."""
+def host_rates(judged: DataFrame, pooled: float = 1e6) -> DataFrame:
+    """host, documents, failures, rate (shrunk) from judged (host, base_failed).
+
+    pooled: the prior's strength, in documents, where the hosts' rates differ no more than chance has it: all get nearly the mean."""
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("documents"), F.count_if("base_failed").alias("failures"))
     # moments of the hosts' rates, weighted by documents: mean m, and the variance between hosts beyond chance
     rate = F.col("failures") / F.col("documents")
     t = hosts.agg(F.sum("documents").alias("n"), F.sum("failures").alias("f"), F.count(F.lit(1)).alias("k"), F.sum(F.col("documents") * rate * rate).alias("s"), F.sum(F.col("documents") * F.col("documents")).alias("q")).first()
     n, f, k = t["n"] or 0, t["f"] or 0, t["k"]
     mean = f / n if n else 0.0
-    strength = 1e6  # hosts that differ no more than by chance all get the mean
+    strength = pooled
     if k > 1 and 0 < mean < 1:
         between = ((t["s"] - n * mean * mean) - (k - 1) * mean * (1 - mean)) / (n - t["q"] / n)
         if between > 0:

@@ -209,9 +209,9 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, most_labelled:
     features = vectors.transform(docs.mapInArrow(featured, f"doc_id long, {types}"))
     out = trees.transform(features).select("doc_id", margin.alias("margin"))
     out = steps.transform(out).withColumnRenamed("prediction", "score") if steps else out.select("doc_id", (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
-    # steps are flat over wide ranges: a small part of the raw margin keeps the order inside them
+    # steps are flat over wide ranges: a millionth of the raw margin's chance keeps the order inside them
     fine = 1 / (1 + F.exp(-2 * F.col("margin"))) if steps else F.col("score")
-    value = (0.98 * F.col("score") + 0.02 * fine) if steps else F.col("score")
+    value = ((1 - 1e-6) * F.col("score") + 1e-6 * fine) if steps else F.col("score")
     return out.select("doc_id", value.alias("score")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
