@@ -5,14 +5,20 @@ are one style node. For each style node the host's pages give
 - its presentation importance, the entropy of the ways in which its children are laid out, to the base of its pages;
 - its content importance, one minus the mean entropy of its features (own texts and links) over the host's pages: what stands on every page
   of the site has 0, what stands on one has 1.
-A page's branch has the composite importance (1 - g^l) * presentation + g^l * mean of its l children's, and a leaf its
+A page's branch has the composite importance (1 - g^l) * presentation + g^l * mean of its l children's, or the mean
+itself where that is higher, as long lists of like children have one layout; a leaf has its
 content importance. Branches below `least` go. Only style nodes with an importance below 1 go from the hosts' statistics to the
 pages, each a number, so that a host's row is small however many pages it has.
 
-Roles come first, as a prior: navigation, headers and footers of the page, sidebars, forms, adverts, notices,
-comments, scripts and styles have no importance by their tag or class; `article` and `main` are not judged by
-statistics, since pages that copy each other's article would look like a template. Style nodes with fewer than
-`fewest_pages` pages are not judged by statistics either.
+What the markup itself says is a prior:
+- Tags and roles that are no text by the standard (navigation, page headers and footers, asides, forms, scripts, styles),
+  and classes or ids that are a word for such a part, alone or with words for a place or box (`comments`, `ad-slot`,
+  `left-sidebar`), have no importance.
+- A class or id that merely has such a word among others (`related-work`, `share-price`) is a doubt: the branch needs
+  an importance of `doubted`, not `least`.
+- `article` and `main` stay, while the branches inside them are judged like others, so that a template's block in them goes.
+  Where nothing of one would be left, as on hosts whose pages all copy one article, it stays whole.
+Style nodes with fewer than `fewest_pages` pages are not judged by statistics.
 
 White space in a block is folded, blocks are joined by a space. Null html is empty; pages without a text have "" and
 0. A null or odd url has the host "". Rows that repeat a page_id are parsed each. Empty tables give empty results.
@@ -42,22 +48,39 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 SCOPE = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "html", "aside", "nav", "footer", "header", "form", "blockquote", "td", "th"}
 NO_TEXT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "object", "select", "button", "textarea", "form", "nav", "aside", "footer", "dialog", "menu", "title", "xmp", "noembed", "noframes", "canvas", "audio", "video", "map"}
 MAIN = {"article", "main"}
-NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|footer|masthead|topbar|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|commentlist|respond|replies|disqus|pager|pagination|widget|toolbar|login|search)(?:$|[\s_-])", re.I)
+#: Words for parts of a page that are no main text, and words for a place or a box that may stand beside them.
+PARTS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent popup modal newsletter subscribe signup sharing social comment comments commentlist respond replies disqus pager pagination toolbar login search widget related recommended notice alert share side header".split())
+BOXES = set("site page main global top bottom left right upper lower inner outer primary secondary box block slot area bar wrap wrapper container list item items unit row col column links link text form panel section content holder inline fixed sticky mobile desktop".split())
+WORD = re.compile(r"[a-z]+|[0-9]+")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"}
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "style", "path", "children", "links", "prior")
+    __slots__ = ("tag", "style", "path", "children", "links", "prior", "doubt", "main")
 
     def __init__(self, tag: str, style: str, path: int, prior: int):
         self.tag, self.style, self.path, self.prior = tag, style, path, prior
         self.children: list = []  # nodes and strings, in page order
         self.links: list[str] = []
+        self.doubt = self.main = False
+
+
+def named(value: str) -> int:
+    """What a class or an id says: 2 a part that is no main text, 1 a doubt, 0 nothing."""
+    found = 0
+    for name in value.split():
+        words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        parts = [w for w in words if w in PARTS]
+        if parts and parts != ["header"] and all(w in PARTS or w in BOXES or w.isdigit() for w in words):
+            return 2
+        if parts:
+            found = 1
+    return found
 
 
 def parse(page: str) -> Node:
-    """The page's tree. prior: -1 noise by its role, 1 main content, 0 to be judged."""
+    """The page's tree. prior: -1 no text by its role, 1 in the main content, 0 other."""
     root = Node("", "", 0, 0)
     stack, at, end = [root], 0, len(page)
     while at < end:
@@ -96,8 +119,11 @@ def parse(page: str) -> Node:
         given = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[3])} if m[3] else {}
         up = stack[-1]
         style = tag + "." + given.get("class", "") if "class" in given else tag
-        noise = tag in NO_TEXT or tag == "header" and up.prior < 1 or given.get("role", "").lower() in ROLES or "hidden" in given or any(NOISE.search(given[a]) for a in ("class", "id") if a in given)
-        node = Node(tag, style, xxhash.xxh64_intdigest(style, up.path & (2**64 - 1)) - 2**63, -1 if noise or up.prior < 0 else 1 if up.prior > 0 or tag in MAIN or given.get("role", "").lower() == "main" else 0)
+        says = max((named(given[a]) for a in ("class", "id") if a in given), default=0)
+        main = tag in MAIN or given.get("role", "").lower() == "main"
+        noise = tag in NO_TEXT or tag == "header" and up.prior < 1 or given.get("role", "").lower() in ROLES or "hidden" in given or says == 2
+        node = Node(tag, style, xxhash.xxh64_intdigest(style, up.path & (2**64 - 1)) - 2**63, -1 if noise or up.prior < 0 else 1 if up.prior > 0 or main else 0)
+        node.doubt, node.main = says == 1, main
         up.children.append(node)
         if "href" in given:
             up.links.append(given["href"])
@@ -120,7 +146,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             todo = [parse(page or "")]
             while todo:
                 node = todo.pop()
-                if node.prior:
+                if node.prior < 0:
                     continue
                 inner = [c for c in node.children if isinstance(c, Node)]
                 own.add((node.path, 0, xxhash.xxh64_intdigest("/".join(dict.fromkeys(c.style for c in inner))) - 2**63))
@@ -146,11 +172,12 @@ def style_trees(pages: DataFrame, fewest_pages: int) -> DataFrame:
     # a page has one layout of a node: the layouts' counts add up to the node's pages
     nodes = counted.groupBy("host", "path").agg(of_kind(0, c).alias("m"), of_kind(0, c * F.ln(c)).alias("l"), of_kind(1, F.ln(c)).alias("f"), of_kind(1, F.lit(1)).alias("n"))
     m = F.ln("m")
-    rated = nodes.where(F.col("m") >= fewest_pages).select("host", "path", F.least(F.lit(1.0), 1 - F.col("l") / (F.col("m") * m)).alias("p"), F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("f") / (F.col("n") * m)), F.lit(1.0)).alias("c"))
+    rated = nodes.where(F.col("m") >= fewest_pages).select("host", "path", F.least(F.lit(1.0), 1 - F.col("l") / (F.col("m") * m)).alias("p"), F.when(F.col("n") > 0, F.greatest(F.lit(0.0), 1 - F.col("f") / (F.col("n") * m))).otherwise(1.0).alias("c"))
     return rated.where("p < 1 OR c < 1").groupBy("host").agg(F.collect_list(F.struct("path", "p", "c")).alias("styles"))
 
 
-def main_text(root: Node, known: dict[int, tuple[float, float]], least: float, decay: float = 0.9) -> str:
+def importances(root: Node, known: dict[int, tuple[float, float]], decay: float) -> dict[int, float]:
+    """The composite importance of each node that has no role of its own against it."""
     importance: dict[int, float] = {}
     order, todo = [], [root]
     while todo:
@@ -160,17 +187,46 @@ def main_text(root: Node, known: dict[int, tuple[float, float]], least: float, d
     for node in reversed(order):
         presentation, content = known.get(node.path, (1.0, 1.0))
         inner = [importance[id(c)] for c in node.children if isinstance(c, Node) and c.prior >= 0]
-        if node.prior > 0:
-            value = 1.0
-        elif inner:
-            far = decay ** len(inner)
-            value = (1 - far) * presentation + far * sum(inner) / len(inner)
-            value = max(value, max(inner)) if any(isinstance(c, Node) and c.prior > 0 for c in node.children) else value
+        value = content
+        if inner:
+            far, mean = decay ** len(inner), sum(inner) / len(inner)
+            value = max((1 - far) * presentation + far * mean, mean)
             if any(isinstance(c, str) and c.strip() for c in node.children):
                 value = max(value, content)
-        else:
-            value = content
         importance[id(node)] = value
+    return importance
+
+
+def kept_nodes(root: Node, known: dict[int, tuple[float, float]], least: float, doubted: float, decay: float) -> set[int]:
+    """The nodes that stay: those above the bounds, and the main content with the nodes above it."""
+    importance = importances(root, known, decay)
+    stay: set[int] = set()
+    below: dict[int, tuple[bool, bool]] = {}  # node: whether main content is in it, whether text of it stays
+    order, steps = [], [root]
+    while steps:
+        node = steps.pop()
+        order.append(node)
+        steps += [c for c in node.children if isinstance(c, Node) and c.prior >= 0]
+    for node in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node) and c.prior >= 0]
+        holds = node.main or any(below[id(c)][0] for c in inner)
+        value = importance[id(node)]
+        if holds or value >= (doubted if node.doubt else least):
+            stay.add(id(node))
+        text = any(isinstance(c, str) and c.strip() for c in node.children) or any(id(c) in stay and below[id(c)][1] for c in inner)
+        below[id(node)] = (holds, text)
+        if node.main and not text:
+            todo = [node]
+            while todo:
+                x = todo.pop()
+                stay.add(id(x))
+                todo += [c for c in x.children if isinstance(c, Node) and c.prior >= 0]
+            below[id(node)] = (True, True)
+    return stay
+
+
+def main_text(root: Node, known: dict[int, tuple[float, float]], least: float = 0.1, doubted: float = 0.5, decay: float = 0.9) -> str:
+    stay = kept_nodes(root, known, least, doubted, decay)
     out: list[str] = []
     block: list[str] = []
 
@@ -190,7 +246,7 @@ def main_text(root: Node, known: dict[int, tuple[float, float]], least: float, d
                 close()
         elif isinstance(step, str):
             block.append(step)
-        elif step.prior < 0 or importance[id(step)] < least:
+        elif id(step) not in stay:
             if step.tag not in INLINE:
                 close()
         else:
@@ -202,7 +258,7 @@ def main_text(root: Node, known: dict[int, tuple[float, float]], least: float, d
     return " ".join(out)
 
 
-def _texts(least: float):
+def _texts(least: float, doubted: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, dict] = {}
@@ -212,19 +268,20 @@ def _texts(least: float):
             for i, page in enumerate(batch.column("html").to_pylist()):
                 if hosts[i] not in held:
                     held[hosts[i]] = {s["path"]: (s["p"], s["c"]) for s in styles[i].as_py() or ()}
-                texts.append(main_text(parse(page or ""), held[hosts[i]], least))
+                texts.append(main_text(parse(page or ""), held[hosts[i]], least, doubted))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, least: float = 0.1, fewest_pages: int = 5) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
+def extract(pages: DataFrame, least: float = 0.1, doubted: float = 0.5, fewest_pages: int = 5) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html). least, doubted: the importance that a
+    branch needs, and one that its name puts in doubt. fewest_pages: beyond any number, no host is judged by statistics."""
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     trees = stored(style_trees(pages, fewest_pages))  # of known size from here on: Spark broadcasts it only if it is small
-    return pages.join(trees, "host", "left").select("page_id", "url", "html", "host", "styles").mapInArrow(_texts(least), "page_id long, url string, text string, n_chars long")
+    return pages.join(trees, "host", "left").select("page_id", "url", "html", "host", "styles").mapInArrow(_texts(least, doubted), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -157,3 +158,67 @@ def test_site_templates(spark):
     rows = [(i, f"http://site.org/{i}", f"<body><div class='x1'>Same words on every page</div><div class='x2'><p>Story {i} begins.</p><p>It ends {i * i}.</p></div></body>") for i in range(12)]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i} begins. It ends {i * i}." for i in range(12))
+
+
+def test_style_trees_by_brute_force(spark):
+    rng, pages = random.Random(8), []
+    for host in range(3):
+        for i in range(9):
+            items = "".join(f"<li>{rng.choice(['Home', 'News', f'Item {rng.randrange(30)}'])}" for _ in range(rng.randrange(1, 4)))
+            pages.append((f"h{host}", f"<body><div class=t>Same words</div><ul class=m>{items}</ul><div class=c><p>Story {host} {i}</p>{'<h2>More</h2>' if i % 2 else ''}<a href='/{i % 3}'>x</a></div></body>"))
+    got = {(r["host"], s["path"]): (s["p"], s["c"]) for r in html_text.style_trees(spark.createDataFrame(pages, "host string, html string"), 2).collect() for s in r["styles"]}
+    layouts, features = {}, {}
+    for host, page in pages:
+        own = set()
+        todo = [html_text.parse(page)]
+        while todo:
+            node = todo.pop()
+            inner = [c for c in node.children if isinstance(c, html_text.Node)]
+            own.add((node.path, "layout", tuple(dict.fromkeys(c.style for c in inner))))
+            text = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+            own |= {(node.path, "feature", x) for x in [text, *node.links] if x}
+            todo += inner
+        for path, kind, x in own:
+            (layouts if kind == "layout" else features).setdefault((host, path), Counter())[x] += 1
+    seen = 0
+    for key, layout in layouts.items():
+        m = sum(layout.values())
+        if m < 2:
+            continue
+        entropy = lambda c: -sum(v / m * math.log(v / m, m) for v in c.values())  # noqa: E731, B023
+        p = entropy(layout)
+        found = features.get(key)
+        # a feature on k of m pages is spread evenly over them
+        c = 1 - sum(math.log(v, m) for v in found.values()) / len(found) if found else 1.0
+        if min(p, 1) < 1 or c < 1:
+            seen += 1
+            assert got[key] == (pytest.approx(min(p, 1.0), abs=1e-9), pytest.approx(max(c, 0.0), abs=1e-9))
+    assert seen == len(got) > 20
+
+
+def test_importance_decides_where_names_do_not(spark):
+    """Pages without roles, with noisy names on content and harmless names on templates; also inside main content."""
+    rows = []
+    for i in range(12):
+        words = " ".join(f"w{i}x{j}" for j in range(30))
+        rows.append((i, f"http://site.org/{i}", f"<main><div class='lead'>Read all our stories here</div><section class='related-work'><p>Story {i} begins. {words}</p></section><div class='share-price chart'><p>Price {i * i} today</p></div></main><div class='zz'>Call us now</div>"))
+        rows.append((100 + i, f"http://copies.org/{i}", "<article><p>One article</p><p>on all pages</p></article><div class='k'>Mast words</div>"))
+        rows.append((200 + i, f"http://nested.org/{i}", f"<article><p>Text {i}</p><article class='comment'><p>I say {i}</p></article><div class='ad-slot-2'>Buy {i}</div><div id='leftSidebar'>Side {i}</div></article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in html_text.extract(pages, fewest_pages=10**9).collect()}
+    for i in range(12):
+        words = " ".join(f"w{i}x{j}" for j in range(30))
+        assert got[i] == f"Story {i} begins. {words} Price {i * i} today"
+        assert got[100 + i] == "One article on all pages"
+        assert got[200 + i] == f"Text {i}"
+        assert without[i].startswith("Read all") and without[i].endswith("Call us now") and without[100 + i].endswith("Mast words")
+
+
+def test_pages_odd_rows(spark):
+    """Null ids and urls, very deep and very long pages, columns whose names clash."""
+    deep = "<div>" * 30_000 + "deep" + "</div>" * 30_000
+    long = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(None, None, deep, "h", 1), (None, "http://a/", long, "h", 1), (3, "::", "<p>x", None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, styles int")).collect()
+    assert sorted(len(r["text"]) for r in got) == [1, 4, 1_999_999] and all(r["n_chars"] == len(r["text"]) for r in got)
