@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import g711
 from . import sequences as S
 
 ATTENUATION_DB = 6.0
@@ -93,3 +94,63 @@ def best_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
         return pd.DataFrame({"clip": one["clip"].iloc[:1], "lag": [int(np.argmax(corr))]})
 
     return a.select("clip", "i", "x").groupBy("clip").cogroup(b.select("clip", "i", "x").groupBy("clip")).applyInPandas(run, f"clip {kind}, lag int")
+
+
+def aligned(decoded: DataFrame, lags: DataFrame, lengths: DataFrame) -> DataFrame:
+    """decoded (clip, i, x) moved back by its clip's lag, cut or filled with silence to the clip's length n."""
+    moved = decoded.join(lags, "clip", "left").select("clip", (F.col("i") - F.coalesce("lag", F.lit(0))).alias("i"), "x")
+    grid = lengths.where("n > 0").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return grid.join(moved, ["clip", "i"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+
+
+def sampled_noise(corpus: list[np.ndarray], n: int, seed: int) -> np.ndarray:
+    """n samples of one recording of the corpus, tiled if it is shorter, from a drawn place, with mean 0 and deviation 1; pink noise without a corpus."""
+    from .signal import pink_noise
+
+    if not corpus:
+        return pink_noise(n, seed)
+    rng = np.random.default_rng(seed)
+    x = corpus[int(rng.integers(len(corpus)))]
+    if len(x) < n:
+        x = np.tile(x, -(-n // max(len(x), 1)))
+    at = int(rng.integers(len(x) - n + 1))
+    x = x[at : at + n] - x[at : at + n].mean()
+    return x / (x.std() or 1.0)
+
+
+def prepared(clips: DataFrame, rate: int, seed: int, corpus: list[np.ndarray] | None = None) -> DataFrame:
+    """clip, i, x, noise: clips (clip, sr, samples) at another rate, in long form, with a noise sample of each. A clip's
+    noise depends on its name and the seed. corpus: a few recordings at that rate, which go to all tasks."""
+    from .signal import resampled
+
+    kind = clips.schema["clip"].dataType.simpleString()
+
+    def run(batches):
+        import zlib
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x = resampled(np.asarray(r.samples if r.samples is not None else [], float), rate, int(r.sr))
+                noise = sampled_noise(corpus or [], len(x), zlib.crc32(f"{r.clip}:{seed}".encode())) if len(x) else x
+                yield pd.DataFrame({"clip": [r.clip] * len(x), "i": np.arange(len(x)), "x": x, "noise": noise})
+
+    return clips.select("clip", "sr", "samples").mapInPandas(run, f"clip {kind}, i long, x double, noise double")
+
+
+def simulated(clips: DataFrame, codec: str, sr: int, loss_pct: float = 0.0, snr_db: float | None = None, burst: float | None = None, seed: int = 42, frame_ms: int = 20, corpus: list[np.ndarray] | None = None) -> tuple[DataFrame, int]:
+    """(clip, i, y, lost) of clips (clip, sr, samples, all of rate sr) after a channel, and the rate: resampling, noise, codec,
+    frame loss with concealment, limits. burst: the chance that a run of lost frames ends, for bursty loss. The codecs here delay nothing."""
+    if codec not in ("clean", "g711a", "g711u"):
+        raise ValueError(f"no codec for {codec!r} on this machine")
+    rate = sr if codec == "clean" else 8000
+    frame = rate * frame_ms // 1000
+    seq = prepared(clips, rate, seed, corpus)
+    if snr_db is not None:
+        seq = noisy(seq, "x", "noise", snr_db, frame).withColumn("x", F.col("y")).drop("y")
+    if codec != "clean":
+        seq = seq.withColumn("x", g711.round_trip(F.col("x"), "alaw" if codec == "g711a" else "ulaw"))
+    seq = S.framed(seq.select("clip", "i", "x"), frame)
+    frames = seq.select("clip", "frame").distinct()
+    lost = bernoulli_loss(frames, loss_pct, seed) if burst is None else bursty_loss(frames, loss_pct, burst, seed)
+    out = concealed(seq.join(lost, ["clip", "frame"]), "x", frame)
+    return out.select("clip", "i", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("y"))).alias("y"), "lost"), rate

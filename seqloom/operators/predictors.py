@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,17 +11,19 @@ from pyspark.sql import functions as F
 
 
 class Network:
-    """One hidden layer of rectified units, Adam, mini-batches, early stop on the training loss."""
+    """Hidden layers of rectified units, Adam, mini-batches, early stop on the training loss."""
 
-    def __init__(self, hidden: int, classify: bool, seed: int, rate: float = 1e-3, decay: float = 1e-4, epochs: int = 200, batch: int = 200):
-        self.hidden, self.classify, self.rng, self.rate, self.decay, self.epochs, self.batch = hidden, classify, np.random.default_rng(seed), rate, decay, epochs, batch
+    def __init__(self, hidden: int | tuple[int, ...], classify: bool, seed: int, rate: float = 1e-3, decay: float = 1e-4, epochs: int = 200, batch: int = 200):
+        self.hidden = (hidden,) if isinstance(hidden, int) else hidden
+        self.classify, self.rng, self.rate, self.decay, self.epochs, self.batch = classify, np.random.default_rng(seed), rate, decay, epochs, batch
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         y = y.reshape(len(x), -1).astype(float)
-        sizes = [x.shape[1], self.hidden, y.shape[1]]
+        sizes = [x.shape[1], *self.hidden, y.shape[1]]
+        last = len(sizes) - 2
         self.weights = []
-        for i in range(2):
-            bound = np.sqrt((2.0 if i and self.classify else 6.0) / (sizes[i] + sizes[i + 1]))
+        for i in range(last + 1):
+            bound = np.sqrt((2.0 if i == last and self.classify else 6.0) / (sizes[i] + sizes[i + 1]))
             self.weights += [self.rng.uniform(-bound, bound, (sizes[i], sizes[i + 1])), self.rng.uniform(-bound, bound, sizes[i + 1])]
         m, v = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
         size, step, best, stale = min(self.batch, len(x)), 0, np.inf, 0
@@ -27,16 +31,18 @@ class Network:
             order, loss = self.rng.permutation(len(x)), 0.0
             for at in range(0, len(x), size):
                 rows = order[at : at + size]
-                hidden, out = self._forward(x[rows])
+                layers, out = self._forward(x[rows])
                 error = out - y[rows]
                 if self.classify:
                     p = np.clip(out, 1e-12, 1 - 1e-12)
                     loss -= (y[rows] * np.log(p) + (1 - y[rows]) * np.log(1 - p)).sum()
                 else:
                     loss += (error**2).sum() / 2
-                back = (error @ self.weights[2].T) * (hidden > 0)
-                n = len(rows)
-                grads = [(x[rows].T @ back + self.decay * self.weights[0]) / n, back.mean(axis=0), (hidden.T @ error + self.decay * self.weights[2]) / n, error.mean(axis=0)]
+                n, grads = len(rows), []
+                for i in range(last, -1, -1):
+                    grads = [(layers[i].T @ error + self.decay * self.weights[2 * i]) / n, error.mean(axis=0), *grads]
+                    if i:
+                        error = (error @ self.weights[2 * i].T) * (layers[i] > 0)
                 step += 1
                 rate = self.rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in enumerate(grads):
@@ -49,10 +55,12 @@ class Network:
                 break
         return self
 
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.maximum(x @ self.weights[0] + self.weights[1], 0)
-        out = hidden @ self.weights[2] + self.weights[3]
-        return hidden, 1 / (1 + np.exp(-np.clip(out, -500, 500))) if self.classify else out
+    def _forward(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        layers = [x]
+        for i in range(0, len(self.weights) - 2, 2):
+            layers.append(np.maximum(layers[-1] @ self.weights[i] + self.weights[i + 1], 0))
+        out = layers[-1] @ self.weights[-2] + self.weights[-1]
+        return layers, 1 / (1 + np.exp(-np.clip(out, -500, 500))) if self.classify else out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self._forward(x)[1]
@@ -104,8 +112,9 @@ def rho(d: np.ndarray, w: int, seed: int, share: float = 0.8, least: int = 10) -
     return float(1 - ((y[train:] - guess) ** 2).mean() / spread) if spread > 0 else None
 
 
-def checks(seq: DataFrame, bit: str, windows: tuple[int, ...] = (8, 16, 32), modes: tuple[str, ...] = ("bit", "block"), directions: tuple[str, ...] = ("fwd", "bwd"), seed: int = 42, most: int | None = None) -> DataFrame:
-    """clip, mode, w, dir, n_test, delta for every check of the grid: a group for each clip and check, trained in parallel."""
+def checks(seq: DataFrame, bit: str, windows: tuple[int, ...] = (8, 16, 32), modes: tuple[str, ...] = ("bit", "block"), directions: tuple[str, ...] = ("fwd", "bwd"), seed: int = 42, most: int | Callable[[int], int] | None = None) -> DataFrame:
+    """clip, mode, w, dir, n_test, delta for every check of the grid: a group for each clip and check, trained in parallel.
+    most: the training windows at most, or a function of the sequence's length that gives them."""
     grid = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(w).alias("w"), F.lit(d).alias("dir")) for m in modes for w in windows for d in directions))
     bits = seq.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(bit).alias("b")))), lambda s: s["b"]).alias("bits"))
     kind = seq.schema["clip"].dataType.simpleString()
@@ -114,7 +123,7 @@ def checks(seq: DataFrame, bit: str, windows: tuple[int, ...] = (8, 16, 32), mod
         out = []
         for r in pdf.itertuples():
             x = np.asarray(r.bits, np.int64)
-            delta, n = (bit_delta if r.mode == "bit" else block_delta)(x[::-1] if r.dir == "bwd" else x, r.w, seed, most=most)
+            delta, n = (bit_delta if r.mode == "bit" else block_delta)(x[::-1] if r.dir == "bwd" else x, r.w, seed, most=most(len(x)) if callable(most) else most)
             out.append((r.clip, r.mode, r.w, r.dir, n, delta))
         return pd.DataFrame(out, columns=["clip", "mode", "w", "dir", "n_test", "delta"])
 

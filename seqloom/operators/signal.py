@@ -64,30 +64,32 @@ def durbin(r: np.ndarray) -> np.ndarray:
     return a
 
 
+def residual_of(x: np.ndarray, frame: int, order: int) -> np.ndarray:
+    """The prediction error of a signal, frame by frame, with the history before each frame."""
+    step = max(order + 1, frame)
+    whole = -(-len(x) // step)
+    padded = np.zeros(whole * step)
+    padded[: len(x)] = x
+    frames = padded.reshape(whole, step) if whole else padded.reshape(0, step)
+    sizes = np.minimum(step, len(x) - np.arange(whole) * step)
+    window = np.zeros_like(frames)
+    for i, n in enumerate(sizes):
+        window[i, :n] = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n)
+    y = frames * window
+    r = np.stack([(y[:, : step - k] * y[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1) if whole else np.zeros((0, order + 1))
+    a = durbin(r)
+    a[sizes <= order] = 0
+    past = np.concatenate((np.zeros(order), padded))
+    history = np.stack([past[order - 1 - j : order - 1 - j + len(padded)] for j in range(order)], axis=1)
+    return (padded - (history * np.repeat(a, step, axis=0)).sum(axis=1))[: len(x)]
+
+
 def residual(clips: DataFrame, frame: int, order: int) -> DataFrame:
     """clip, residual: array of the prediction error of each clip (clip, samples array), order any."""
 
-    def one(x: np.ndarray) -> np.ndarray:
-        step = max(order + 1, frame)
-        whole = -(-len(x) // step)
-        padded = np.zeros(whole * step)
-        padded[: len(x)] = x
-        frames = padded.reshape(whole, step) if whole else padded.reshape(0, step)
-        sizes = np.minimum(step, len(x) - np.arange(whole) * step)
-        window = np.zeros_like(frames)
-        for i, n in enumerate(sizes):
-            window[i, :n] = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n)
-        y = frames * window
-        r = np.stack([(y[:, : step - k] * y[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1) if whole else np.zeros((0, order + 1))
-        a = durbin(r)
-        a[sizes <= order] = 0
-        past = np.concatenate((np.zeros(order), padded))
-        history = np.stack([past[order - 1 - j : order - 1 - j + len(padded)] for j in range(order)], axis=1)
-        return (padded - (history * np.repeat(a, step, axis=0)).sum(axis=1))[: len(x)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(np.asarray(x or [], float)) for x in batch.column("samples").to_pylist()]
+            out = [residual_of(np.asarray(x or [], float), frame, order) for x in batch.column("samples").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("clip"), pa.array([list(x) for x in out], pa.list_(pa.float64()))], ["clip", "residual"])
 
     kind = clips.schema["clip"].dataType.simpleString()
@@ -176,3 +178,35 @@ def resampled(x: np.ndarray, up: int, down: int, taps: int = 10) -> np.ndarray:
         ok = (index >= 0) & (index < len(x))
         out[own] = (np.where(ok, x[np.clip(index, 0, max(len(x) - 1, 0))], 0.0) * hp).sum(axis=1)
     return out
+
+
+def bits_of(x: np.ndarray, frame: int) -> np.ndarray:
+    """1 where a value is above its frame's median; a last, shorter frame has its own."""
+    return np.concatenate([(x[k : k + frame] > np.median(x[k : k + frame])).astype(np.int64) for k in range(0, len(x), frame)]) if len(x) else np.zeros(0, np.int64)
+
+
+def voiced_frames(seq: DataFrame, value: str, frame: int, shortest: int, longest: int, least: float = 0.3) -> DataFrame:
+    """clip, frame, voiced: whether a frame's autocorrelation at some lag from shortest to longest is above `least` of
+    that at 0. A frame's samples are one short array."""
+    rows = S.framed(seq, frame).groupBy("clip", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("x")))), lambda s: s["x"]).alias("x"))
+    at = lambda k: F.aggregate(F.zip_with(F.col("x"), F.slice("x", k + 1, F.greatest(F.size("x") - k, F.lit(0))), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda t, v: t + v)
+    best = F.array_max(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), at))
+    return rows.select("clip", "frame", F.coalesce((at(F.lit(0)) > 0) & (best > least * at(F.lit(0))), F.lit(False)).alias("voiced"))
+
+
+def symbols_a(seq: DataFrame, value: str, frame: int, which: str = "all", speech: tuple[int, int] | None = None, digits: int = 9) -> DataFrame:
+    """clip, i, bit: bits of the order-2 residual of the frames of a class, numbered anew. speech: shortest and longest lag of a voice's period in samples."""
+    bits = S.binarised(residual2(seq, value, frame, digits).select("clip", "i", "e"), "e", frame).select("clip", "i", "frame", "bit")
+    if which != "all":
+        bits = S.chosen_frames(bits.join(voiced_frames(seq, value, frame, *speech), ["clip", "frame"]), which)
+    return bits.select("clip", (F.row_number().over(S.in_clip()) - 1).cast("long").alias("i"), "bit")
+
+
+def periods(seq: DataFrame, value: str, sr: int) -> DataFrame:
+    """clip, i, period: samples between neighbouring peaks (above 0, above the sample before, not below the one after)
+    that are as far apart as a voice's period can be."""
+    w = S.in_clip()
+    x = F.col(value)
+    peaks = seq.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where((x > 0) & (x > F.col("_p")) & (x >= F.col("_n")))
+    gaps = peaks.select("clip", "i", (F.col("i") - F.lag("i").over(w)).alias("period"))
+    return valid_periods(gaps.withColumn("_s", F.col("period") / sr), "_s").drop("_s")

@@ -555,6 +555,9 @@ def calibrator_llr(spark, d):
     return decisions.calibrated(t, ["s1", "s2"], decisions.fit_calibrator(t, ["s1", "s2"], "y")).select("y", "s1", "s2", r6("llr").alias("llr"))
 
 
-@query()
+@query(f"""
+WITH {SCORED_SQL}, r AS (SELECT round(avg(CAST((y = 1) = (s > 1000) AS INTEGER)), 4) AS accuracy, round(avg(CAST(s > 1000 AS INTEGER)) FILTER (y = 0), 4) AS false_alarm_rate, round(avg(CAST(s > 1000 AS INTEGER)) FILTER (y = 1), 4) AS detection_rate FROM q)
+SELECT '{{"accuracy":' || accuracy || ',"false_alarm_rate":' || false_alarm_rate || ',"detection_rate":' || detection_rate || '}}' AS passport FROM r
+""")
 def passport_json(spark, d):
     return decisions.passport(decisions.confusion(scored(spark, d), F.col("y") == 1, F.col("s") > 1000))

@@ -1,5 +1,6 @@
 """Every query of the engine by name, and the SQL that checks it."""
 
+from . import extended  # noqa: F401  (adds its queries)
 from .catalogue import QUERIES, SQL
 
 FLAGSHIP = "sprt_verdicts"

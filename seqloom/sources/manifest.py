@@ -84,3 +84,56 @@ def with_fallback(rows: DataFrame, profiles: DataFrame, channel: str = "channel"
     out = rows.join(own, channel, "left")
     found = F.coalesce("_own", F.lit(None).cast(own.schema["_own"].dataType)) if not spare else F.coalesce("_own", F.struct(*(F.lit(spare[0]["_base"][c]).cast(profiles.schema[c].dataType).alias(c) for c in columns)))
     return out.select(*rows.columns, found.alias("profile")).select(*rows.columns, "profile.*")
+
+
+def membership(rows: DataFrame, splits: DataFrame, speaker: str) -> DataFrame:
+    """Rows with the split of their speaker; those without a speaker have none."""
+    return rows.join(splits.withColumnRenamed("speaker", speaker), speaker, "left")
+
+
+def row_split(rows: DataFrame, speaker: str, order: list[Column], calib: float = 0.3, train: float = 0.4) -> DataFrame:
+    """rows with a split: by rows in the given order where there is one speaker at most, by speakers (ordered by the hash of their name) otherwise."""
+    people = rows.select(speaker).where(F.col(speaker).isNotNull()).distinct().limit(2).count()
+    if people > 1:
+        return membership(rows, speaker_split(rows, speaker, F.xxhash64("speaker")), speaker)
+    n = rows.count()
+    c, t = max(1, int(calib * n)), max(1, int(train * n))
+    if c + t >= n:
+        t = max(0, n - c - 1)
+    keyed = rows.withColumns({f"_o{k}": o for k, o in enumerate(order)})
+    at = numbered(keyed, [f"_o{k}" for k in range(len(order))], "_at")
+    return at.withColumn("split", F.when(F.col("_at") < c, "calib").when(F.col("_at") < c + t, "train").otherwise("test")).select(*rows.columns, "split")
+
+
+def chained(*sources: DataFrame) -> DataFrame:
+    """Sources one after the other, with the number of each in column part."""
+    out = None
+    for k, df in enumerate(sources):
+        one = df.withColumn("part", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def with_audio(manifest: DataFrame, clips: DataFrame) -> DataFrame:
+    """Manifest rows with sr and samples of their file; rows whose file is missing or no audio go."""
+    return manifest.join(clips.where("samples IS NOT NULL"), "path")
+
+
+def uploads(files: DataFrame, most_bytes: int = 60 * 256 * 1024) -> DataFrame:
+    """files (content binary) with status: 200, 413 for too large ones, 400 for empty or missing ones."""
+    size = F.length("content")
+    return files.withColumn("status", F.when(F.coalesce(size, F.lit(0)) == 0, 400).when(size > most_bytes, 413).otherwise(200))
+
+
+def first_seconds(clips: DataFrame, seconds: int = 60) -> DataFrame:
+    """Clips (sr, samples) cut to their first seconds."""
+    return clips.withColumn("samples", F.slice("samples", F.lit(1), F.col("sr") * seconds))
+
+
+def run_grid(spark: SparkSession, generators: list[str], seeds: list[int]) -> DataFrame:
+    return spark.createDataFrame([(g, s) for g in generators for s in seeds], "generator string, seed long")
+
+
+def save_clips(clips: DataFrame, path: str) -> None:
+    """Clips in a folder a channel."""
+    clips.write.mode("overwrite").partitionBy("channel").parquet(path)

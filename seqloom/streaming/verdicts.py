@@ -13,9 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalars import barriers
 
 
-def streaming_sprt(stream: DataFrame, alpha: float = 0.01, beta: float = 0.05, most: int = 8, idle_ms: int | None = None) -> DataFrame:
+def streaming_sprt(stream: DataFrame, alpha: float = 0.01, beta: float = 0.05, most: int = 8, idle_ms: int | None = 3_600_000) -> DataFrame:
     """stream: clip long, i long (rising in a clip), llr double -> clip, i, k, lambda, verdict. A decided session stays
-    as it is; with idle_ms a session without rows for so long is forgotten."""
+    as it is; a session without rows for idle_ms (None: however long) is forgotten."""
     upper, lower = barriers(alpha, beta)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,18 +40,34 @@ def streaming_sprt(stream: DataFrame, alpha: float = 0.01, beta: float = 0.05, m
     return stream.groupBy("clip").applyInPandasWithState(step, "clip long, i long, k int, lambda double, verdict string", "k int, total double, verdict string", "append", timeout)
 
 
-def streaming_segments(stream: DataFrame, quota: int = 50) -> DataFrame:
-    """stream: clip long, i long, speech boolean, x double -> clip, seg, n, mean: each `quota` speech frames of a session, as they fill up."""
+def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, idle_ms: int = 60_000) -> DataFrame:
+    """stream: clip long, i long (from 0, without gaps), speech boolean, x double -> clip, seg, n, mean: each `quota`
+    speech frames of a session, as they fill up. Frames that come before their turn wait for those before them. A session
+    without frames for idle_ms ends: what waits counts, and a last segment of least * quota frames or more is given."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seg, held = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values("i")
-        held = list(held) + rows.loc[rows["speech"].astype(bool), "x"].tolist()
-        out = []
-        while len(held) >= quota:
-            out.append((key[0], seg, quota, sum(held[:quota]) / quota))
-            seg, held = seg + 1, held[quota:]
-        state.update((seg, held))
+        seg, at, held, places, speech, values = state.get if state.exists else (0, 0, [], [], [], [])
+        waiting = dict(zip(places, zip(speech, values, strict=True), strict=True))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            waiting |= {int(i): (bool(s), float(x)) for i, s, x in zip(rows["i"], rows["speech"], rows["x"], strict=True) if i >= at}
+        held, out = list(held), []
+        for i in sorted(waiting):
+            if i != at and not state.hasTimedOut:
+                break
+            if waiting[i][0]:
+                held.append(waiting[i][1])
+            at = i + 1
+        waiting = {i: v for i, v in waiting.items() if i >= at}
+        while len(held) >= quota or state.hasTimedOut and held and len(held) >= least * quota:
+            part, held = held[:quota], held[quota:]
+            out.append((key[0], seg, len(part), sum(part) / len(part)))
+            seg += 1
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((seg, at, held, list(waiting), [v[0] for v in waiting.values()], [v[1] for v in waiting.values()]))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["clip", "seg", "n", "mean"])
 
-    return stream.groupBy("clip").applyInPandasWithState(step, "clip long, seg int, n int, mean double", "seg int, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("clip").applyInPandasWithState(step, "clip long, seg int, n int, mean double", "seg int, at long, held array<double>, places array<long>, speech array<boolean>, x array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
