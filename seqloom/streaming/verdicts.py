@@ -40,10 +40,11 @@ def streaming_sprt(stream: DataFrame, alpha: float = 0.01, beta: float = 0.05, m
     return stream.groupBy("clip").applyInPandasWithState(step, "clip long, i long, k int, lambda double, verdict string", "k int, total double, verdict string", "append", timeout)
 
 
-def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, idle_ms: int = 60_000) -> DataFrame:
+def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, idle_ms: int | None = 60_000) -> DataFrame:
     """stream: clip long, i long (from 0, without gaps), speech boolean, x double -> clip, seg, n, mean: each `quota`
     speech frames of a session, as they fill up. Frames that come before their turn wait for those before them. A session
-    without frames for idle_ms ends: what waits counts, and a last segment of least * quota frames or more is given."""
+    without frames for idle_ms (None: none) ends: what waits counts, and a last segment of least * quota frames or more is
+    given. A stream with a timeout never comes to an end of its own."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seg, at, held, places, speech, values = state.get if state.exists else (0, 0, [], [], [], [])
@@ -67,7 +68,9 @@ def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, i
             state.remove()
         else:
             state.update((seg, at, held, list(waiting), [v[0] for v in waiting.values()], [v[1] for v in waiting.values()]))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["clip", "seg", "n", "mean"])
 
-    return stream.groupBy("clip").applyInPandasWithState(step, "clip long, seg int, n int, mean double", "seg int, at long, held array<double>, places array<long>, speech array<boolean>, x array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("clip").applyInPandasWithState(step, "clip long, seg int, n int, mean double", "seg int, at long, held array<double>, places array<long>, speech array<boolean>, x array<double>", "append", timeout)

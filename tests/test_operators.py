@@ -99,12 +99,12 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
         spark.createDataFrame(rows[rows["i"] // 7 == part]).write.mode("append").parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 50).parquet(str(tmp_path / "in"))
-    q = streaming_sprt(stream).writeStream.format("memory").queryName("verdicts").outputMode("append").start()
+    q = streaming_sprt(stream, idle_ms=None).writeStream.format("memory").queryName("verdicts").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     key = lambda t: sorted((r["clip"], r["k"], round(r["lambda"], 9), r["verdict"]) for r in t.collect())
     assert key(spark.table("verdicts")) == key(decisions.sprt(batch, "llr"))
-    q = streaming_segments(stream.withColumnRenamed("llr", "x"), quota=3).writeStream.format("memory").queryName("segments").outputMode("append").start()
+    q = streaming_segments(stream.withColumnRenamed("llr", "x"), quota=3, idle_ms=None).writeStream.format("memory").queryName("segments").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     expected = S.segments(batch.where("speech"), quota=3, least=1).groupBy("clip", "seg").agg(F.avg("llr").alias("mean"))
