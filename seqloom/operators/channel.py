@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import g711
 from . import sequences as S
+from .signal import pink_noise, resampled
 
 ATTENUATION_DB = 6.0
 FADE = 16
@@ -105,8 +106,6 @@ def aligned(decoded: DataFrame, lags: DataFrame, lengths: DataFrame) -> DataFram
 
 def sampled_noise(corpus: list[np.ndarray], n: int, seed: int) -> np.ndarray:
     """n samples of one recording of the corpus, tiled if it is shorter, from a drawn place, with mean 0 and deviation 1; pink noise without a corpus."""
-    from .signal import pink_noise
-
     if not corpus:
         return pink_noise(n, seed)
     rng = np.random.default_rng(seed)
@@ -121,8 +120,6 @@ def sampled_noise(corpus: list[np.ndarray], n: int, seed: int) -> np.ndarray:
 def prepared(clips: DataFrame, rate: int, seed: int, corpus: list[np.ndarray] | None = None) -> DataFrame:
     """clip, i, x, noise: clips (clip, sr, samples) at another rate, in long form, with a noise sample of each. A clip's
     noise depends on its name and the seed. corpus: a few recordings at that rate, which go to all tasks."""
-    from .signal import resampled
-
     kind = clips.schema["clip"].dataType.simpleString()
 
     def run(batches):

@@ -73,3 +73,16 @@ def test_many_modifiers(spark):
     text = "g711a" + "+loss1" * 120
     got = spark.createDataFrame([(text + "+loss7",), (text + "+nonsense",)], "s string").select(channel_spec.parse(F.col("s")).alias("p")).collect()
     assert got[0]["p"]["loss_pct"] == 7.0 and not got[1]["p"]["valid"]
+
+
+def test_functions_import_the_package_at_the_top_only():
+    """Executors have no copy of the package: an import of it inside a function that travels to them would fail there."""
+    import ast
+    from pathlib import Path
+
+    import seqloom
+
+    root = Path(seqloom.__file__).parent
+    for path in (p for folder in ("functions", "operators", "sources", "streaming") for p in (root / folder).glob("*.py")):
+        inner = [n for f in ast.walk(ast.parse(path.read_text())) if isinstance(f, ast.FunctionDef) for n in ast.walk(f)]
+        assert not [n.lineno for n in inner if isinstance(n, ast.ImportFrom) and (n.level or (n.module or "").startswith("seqloom"))], path
