@@ -101,11 +101,12 @@ def card_parts(text: str) -> Spans:
     for m in CHAIN.finditer(text):
         if 13 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             continue
-        groups, k = [g.span() for g in re.finditer(r"[0-9]+", m[0])], 0
+        chain, k = m[0], 0
+        groups = [g.span() for g in re.finditer(r"[0-9]+", chain)]
         while k < len(groups):
             n, last, hit = 0, k, None
             while last < len(groups) and (n := n + groups[last][1] - groups[last][0]) <= 19:
-                part = m[0][groups[k][0] : groups[last][1]]
+                part = chain[groups[k][0] : groups[last][1]]
                 if n >= 13 and part[0] in "3456" and luhn(NOT_DIGIT.sub("", part)):
                     hit = last
                 last += 1
