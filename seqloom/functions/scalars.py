@@ -105,3 +105,53 @@ def file_name(channel: Column) -> Column:
 def listed(text: Column) -> Column:
     """A comma-separated list without blanks and empty items."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: Fixed coefficients of Lanczos' approximation of the gamma function, g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of x >= 1."""
+    x = x.cast("double") - 1
+    total = sum((F.lit(c) / (x + k) for k, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    t = x + 7.5
+    return 0.5 * math.log(2 * math.pi) + (x + 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: int) -> Column:
+    """The continued fraction of the incomplete beta function, from its end: 1 + d1 / (1 + d2 / (1 + ...))."""
+
+    def d(n: Column) -> Column:
+        m = F.floor(n / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(n % 2 == 0, even).otherwise(odd)
+
+    return F.aggregate(F.sequence(F.lit(terms), F.lit(1)), F.lit(1.0), lambda acc, n: 1 + d(n) / acc)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function, for a, b >= 1 and 0 <= x <= 1."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    low = x < (a + 1) / (a + b + 2)  # where the fraction converges fast; else of the other tail
+    value = F.when(low, front / a / _beta_fraction(a, b, x, terms)).otherwise(1 - front / b / _beta_fraction(b, a, 1 - x, terms))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(value)
+
+
+def beta_quantile(p: float, a: Column, b: Column, steps: int = 60) -> Column:
+    """x with incomplete_beta(a, b, x) = p, by halving."""
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        below = incomplete_beta(a, b, mid) < p
+        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halved)
+    return (end["lo"] + end["hi"]) / 2
+
+
+def rate_bound(k: Column, n: Column, level: float = 0.95) -> Column:
+    """The one-sided upper bound of Clopper and Pearson for a rate of which k of n were seen; 1 if all or none were looked at."""
+    k, n = k.cast("double"), n.cast("double")
+    return F.when((n <= 0) | (k >= n), 1.0).otherwise(beta_quantile(level, k + 1, F.greatest(n - k, F.lit(1.0))))
