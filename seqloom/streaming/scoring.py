@@ -23,12 +23,13 @@ STATE = "next long, waiting array<struct<seq:bigint,pcm:binary>>, carry binary,
 @dataclass(frozen=True)
 class Scorer:
     """sr; model: of s1, none gives no s1; profile: check -> (centre, scale) of s2, none gives no s2; fusion: weights of
-    (s1, s2) and the intercept; gate: least mean square of a speech frame; wait: a segment has its own s2, not that of the one before."""
+    (s1, s2) and the intercept; gate: least mean square of a speech frame; wait: a segment has its own s2, not that of the one before; patience: so many messages wait for a missing one, no more."""
 
     sr: int = 8000
     model: Linear | None = None
     profile: dict[str, tuple[float, float]] | None = None
     fusion: tuple[float, float, float] = (0.5, 0.5, 0.0)
+    patience: int = 64
     gate: float = 1e-6
     wait: bool = False
     alpha: float = 0.01
@@ -80,14 +81,20 @@ class Scorer:
 
     def advance(self, state: dict, messages: list[tuple[int, bytes]], end: bool = False) -> list[tuple]:
         """Rows of the segments that the messages complete. Messages count in the order of their numbers, from 0: one that
-        comes before its turn waits. At the end what waits counts, and a last segment of half the quota or more."""
-        state["waiting"] = sorted({**dict(state["waiting"]), **{s: p for s, p in messages if s >= state["next"]}}.items())
-        data = [state["carry"]]
-        while state["waiting"] and (end or state["waiting"][0][0] == state["next"]):
-            seq, pcm = state["waiting"].pop(0)
-            state["next"] = seq + 1
-            data.append(bytes(pcm))
-        raw, size = b"".join(data), 2 * self.frame
+        comes before its turn waits, until it is its turn or more than `patience` wait; what comes after that is left out.
+        At the end what waits counts, and a last segment of half the quota or more."""
+        waiting = sorted({**dict(state["waiting"]), **{s: p for s, p in messages if s >= state["next"]}}.items())
+        data, k = [], 0
+        while k < len(waiting) and (end or waiting[k][0] == state["next"] or len(waiting) - k > self.patience):
+            state["next"] = waiting[k][0] + 1
+            data.append(bytes(waiting[k][1]))
+            k += 1
+        state["waiting"] = waiting[k:]
+        return self.feed(state, b"".join(data), end)
+
+    def feed(self, state: dict, pcm: bytes, end: bool = False) -> list[tuple]:
+        """The same of samples that are in order."""
+        raw, size = state["carry"] + pcm, 2 * self.frame
         whole = len(raw) // size * size
         state["carry"] = raw[whole:]
         frames = (np.frombuffer(raw[:whole], "<i2") / 32768).astype(np.float32).reshape(-1, self.frame)

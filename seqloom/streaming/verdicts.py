@@ -40,9 +40,10 @@ def streaming_sprt(stream: DataFrame, alpha: float = 0.01, beta: float = 0.05, m
     return stream.groupBy("clip").applyInPandasWithState(step, "clip long, i long, k int, lambda double, verdict string", "k int, total double, verdict string", "append", timeout)
 
 
-def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, idle_ms: int | None = 60_000) -> DataFrame:
+def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, idle_ms: int | None = 60_000, patience: int = 500) -> DataFrame:
     """stream: clip long, i long (from 0, without gaps), speech boolean, x double -> clip, seg, n, mean: each `quota`
-    speech frames of a session, as they fill up. Frames that come before their turn wait for those before them. A session
+    speech frames of a session, as they fill up. Frames that come before their turn wait for those before them, until more
+    than `patience` wait; a frame that comes after that is left out. A session
     without frames for idle_ms (None: none) ends: what waits counts, and a last segment of least * quota frames or more is
     given. A stream with a timeout never comes to an end of its own."""
 
@@ -53,8 +54,8 @@ def streaming_segments(stream: DataFrame, quota: int = 50, least: float = 0.5, i
             rows = pd.concat(list(batches))
             waiting |= {int(i): (bool(s), float(x)) for i, s, x in zip(rows["i"], rows["speech"], rows["x"], strict=True) if i >= at}
         held, out = list(held), []
-        for i in sorted(waiting):
-            if i != at and not state.hasTimedOut:
+        for k, i in enumerate(sorted(waiting)):
+            if i != at and not state.hasTimedOut and len(waiting) - k <= patience:
                 break
             if waiting[i][0]:
                 held.append(waiting[i][1])
