@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import g711
 from . import sequences as S
@@ -151,3 +152,35 @@ def simulated(clips: DataFrame, codec: str, sr: int, loss_pct: float = 0.0, snr_
     lost = bernoulli_loss(frames, loss_pct, seed) if burst is None else bursty_loss(frames, loss_pct, burst, seed)
     out = concealed(seq.join(lost, ["clip", "frame"]), "x", frame)
     return out.select("clip", "i", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("y"))).alias("y"), "lost"), rate
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def frame_noise(key: pd.Series, frame: pd.Series, x: pd.Series, snr_db: pd.Series, seed: pd.Series) -> pd.Series:
+    """Frames with noise at snr_db below their own power (1 for silent ones), drawn anew for each key, frame and seed."""
+
+    def one(k, f, v, snr, s):
+        v = np.asarray(v, float)
+        rng = np.random.default_rng([int(k) & 0xFFFFFFFF, int(k) >> 32 & 0xFFFFFFFF, int(f), int(s)])
+        return v + rng.standard_normal(len(v)) * np.sqrt((np.mean(v * v) or 1.0) / 10 ** (snr / 10)) if len(v) else v
+
+    return pd.Series([None if v is None else one(k, f, v, snr, s) for k, f, v, snr, s in zip(key, frame, x, snr_db, seed, strict=True)])
+
+
+def coded_frames(frames: DataFrame, codec: str, snr_db: float | None = None, seed: int = 42) -> DataFrame:
+    """frames (clip, frame, x array<double>, and others) with x after noise and codec, of a table or a stream."""
+    if codec not in ("clean", "g711a", "g711u"):
+        raise ValueError(f"no codec for {codec!r} on this machine")
+    if snr_db is not None:
+        frames = frames.withColumn("x", frame_noise(F.xxhash64("clip"), "frame", "x", F.lit(float(snr_db)), F.lit(seed)))
+    if codec != "clean":
+        frames = frames.withColumn("x", F.transform("x", lambda v: g711.round_trip(v, "alaw" if codec == "g711a" else "ulaw")))
+    return frames
+
+
+def through_frames(frames: DataFrame, codec: str, frame: int, loss_pct: float = 0.0, snr_db: float | None = None, burst: float | None = None, seed: int = 42) -> DataFrame:
+    """clip, i, lost, y: what a live channel makes of frames that are all there."""
+    seq = coded_frames(frames, codec, snr_db, seed).select("clip", "frame", F.posexplode("x").alias("j", "x")).select("clip", "frame", (F.col("frame") * frame + F.col("j")).alias("i"), "x")
+    own = frames.select("clip", "frame")
+    lost = bernoulli_loss(own, loss_pct, seed) if burst is None else bursty_loss(own, loss_pct, burst, seed)
+    out = concealed(seq.join(lost, ["clip", "frame"]), "x", frame)
+    return out.select("clip", "i", "lost", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("y"))).alias("y"))
