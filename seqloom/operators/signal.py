@@ -64,8 +64,8 @@ def durbin(r: np.ndarray) -> np.ndarray:
     return a
 
 
-def residual_of(x: np.ndarray, frame: int, order: int) -> np.ndarray:
-    """The prediction error of a signal, frame by frame, with the history before each frame."""
+def residual_of(x: np.ndarray, frame: int, order: int, before: np.ndarray | None = None) -> np.ndarray:
+    """The prediction error of a signal, frame by frame, with the history before each frame; `before`: the `order` samples ahead of x, silence if not given."""
     step = max(order + 1, frame)
     whole = -(-len(x) // step)
     padded = np.zeros(whole * step)
@@ -79,7 +79,7 @@ def residual_of(x: np.ndarray, frame: int, order: int) -> np.ndarray:
     r = np.stack([(y[:, : step - k] * y[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1) if whole else np.zeros((0, order + 1))
     a = durbin(r)
     a[sizes <= order] = 0
-    past = np.concatenate((np.zeros(order), padded))
+    past = np.concatenate((np.zeros(order) if before is None else before, padded))
     history = np.stack([past[order - 1 - j : order - 1 - j + len(padded)] for j in range(order)], axis=1)
     return (padded - (history * np.repeat(a, step, axis=0)).sum(axis=1))[: len(x)]
 
