@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import chunks, signal
+from seqloom.operators import cepstra, chunks, signal, splits
 from seqloom.sources import signals
 
 SR = 8000
@@ -139,3 +139,50 @@ def test_pcm_messages(spark):
     t = spark.createDataFrame([(1, b"\x00\x40\x00\xc0\x01"), (2, None), (3, b""), (4, b"\xff\x7f")], "k int, b binary").coalesce(1)
     got = {r["k"]: r["x"] for r in t.select("k", signals.pcm16("b").alias("x")).collect()}
     assert got[1] == [0.5, -0.5] and got[2] is None and got[3] == [] and abs(got[4][0] - 32767 / 32768) < 1e-7
+
+
+def test_cepstra_of_overlapping_frames(spark):
+    rng = np.random.default_rng(3)
+    clips = {"a": rng.normal(size=SR // 2), "b": rng.normal(size=400), "c": rng.normal(size=100), "d": rng.normal(size=160)}
+    seq = long(spark, clips)
+    for per in (7, 500):
+        got = {(r["clip"], r["frame"]): r["c"] for r in cepstra.cepstra(seq, "x", SR, hops_per_chunk=per).collect()}
+        want = {}
+        for k, x in clips.items():
+            for f in range((len(x) - 160) // 80 + 1 if len(x) >= 160 else 0):
+                power = np.abs(np.fft.rfft(x[f * 80 : f * 80 + 160] * np.hamming(160), 256)) ** 2
+                edges = np.linspace(0, SR / 2, 22)
+                bins = np.arange(129) * SR / 256
+                logs = [math.log(sum(p * max(0.0, min((b - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - b) / (edges[m + 2] - edges[m + 1]))) for p, b in zip(power, bins, strict=True)) + 1e-8) for m in range(20)]
+                want[k, f] = [math.sqrt((1 if q == 0 else 2) / 20) * sum(v * math.cos(math.pi * q * (2 * m + 1) / 40) for m, v in enumerate(logs)) for q in range(20)]
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
+    rows = cepstra.features(cepstra.cepstra(seq, "x", SR)).where("clip = 'a'").collect()
+    x = np.array([r["features"] for r in sorted(rows, key=lambda r: r["frame"])])
+    assert x.shape == (49, 60) and np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1)
+
+
+def test_split_keeps_components_whole(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, f"v{rng.integers(60)}" if rng.random() < 0.7 else None, int(rng.integers(200)) if rng.random() < 0.5 else None, bool(rng.random() < 0.03)) for k in range(300)]
+    rows += [(300 + k, f"chain{k // 2}", 1000 + (k + 1) // 2, False) for k in range(60)]  # one long chain
+    t = spark.createDataFrame(rows, "id int, voice string, text int, unseen boolean")
+    root = {r[0]: r[0] for r in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if (a[1] is not None and a[1] == b[1]) or (a[2] is not None and a[2] == b[2]):
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    out = splits.constrained_split(t, "id", ["voice", "text"], F.col("component") * 31 % 101, F.col("unseen")).cache()
+    got = {r["id"]: r for r in out.collect()}
+    assert {k: r["component"] for k, r in got.items()} == {k: find(k) for k in root}
+    assert splits.broken(out, ["voice", "text", "component"]).count() == 0
+    held = {find(r[0]) for r in rows if r[3]}
+    assert all(r["split"] == "test" for r in got.values() if r["component"] in held) and {r["split"] for r in got.values()} == {"calib", "train", "test"}
+    out.unpersist()
+    assert splits.constrained_split(t.where("false"), "id", ["voice"], F.col("component")).count() == 0
