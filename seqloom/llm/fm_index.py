@@ -65,7 +65,7 @@ class FMIndex:
             ok = (x < n) & (y < n)
             ok &= ranks[k][np.minimum(x, n - 1)] == ranks[k][np.minimum(y, n - 1)]
             common += ok << k
-        self.lcp = np.zeros(n + 1, np.uint8)
+        self.lcp = np.zeros(n + 1, np.uint8 if depth < 256 else np.uint16 if depth < 1 << 16 else np.int64)
         self.lcp[1:n] = np.minimum(common, depth)
         top = int(text.max()) if n else 0
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top + 1))))

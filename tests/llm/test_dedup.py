@@ -208,3 +208,15 @@ def test_pieces_of_one_task(spark, docs):
     a = {tuple(r) for r in substring_dedup.remove_repeats(docs.repartition(7)).drop("kept_text").collect()}
     b = {tuple(r) for r in substring_dedup.remove_repeats(docs.coalesce(1).orderBy(F.desc("doc_id"))).drop("kept_text").collect()}
     assert a == b
+
+
+def test_windows_longer_than_a_byte():
+    """Shared lengths above 255 are kept in wider numbers."""
+    rng = np.random.default_rng(12)
+    shared = rng.integers(1, 40, 420)
+    texts = [np.concatenate((rng.integers(1, 40, n), shared, rng.integers(1, 40, 60))).astype(np.int64) for n in (30, 70, 5)]
+    for window in (256, 300):
+        index = FMIndex(np.concatenate([*(np.append(t, 100 + k) for k, t in enumerate(texts)), [0]]).astype(np.int64), window)
+        assert int(index.lcp.max()) == window and index.lcp.dtype != np.uint8
+        wide = index.groups(window)
+        assert (wide[1] - wide[0]).max() == 3 and ((wide[1] - wide[0]) == 3).sum() == 420 - window + 1
