@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.shared import stored
 from . import predictors, randomness
 from . import sequences as S
 
@@ -28,13 +29,6 @@ def training_size(n: Column | int) -> Column | int:
     return F.least(F.floor(n / 5), F.lit(50)) if isinstance(n, Column) else min(n // 5, 50)
 
 
-def codes(seq: DataFrame, bit: str, w: int) -> DataFrame:
-    """clip, start, code: each window of w bits as a number, by its first place."""
-    v = S.in_clip()
-    code = sum((F.lag(bit, k).over(v).cast("long") * (1 << k) for k in range(1, w)), F.col(bit).cast("long"))
-    return seq.select("clip", (F.col("i") - w + 1).alias("start"), code.alias("code")).where("start >= 0")
-
-
 def middle_windows(seq: DataFrame, bit: str, w: int, direction: str) -> DataFrame:
     """clip, i, ctx, y, train, test: windows and the bit after them (fwd) or before them (bwd), and whether they train,
     as those around the middle do, or are tested, as those from the middle on are.
@@ -172,27 +166,32 @@ def sampled(rows: DataFrame, n: int, order: list[str], seed: int = 42) -> DataFr
 def block_statistics(seq: DataFrame, bit: str, places: DataFrame, windows: tuple[int, ...] = WINDOWS, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
     """clip, k, place, w, dir, predicted, actual, chi2, p at each place: the block that most often followed the place's
     window (the first seen on ties; zeros if none did), and the 2x2 chi-square of the actual block against the others."""
-    out = None
-    for w in windows:
-        at = codes(seq, bit, w)
-        last = F.max("start").over(Window.partitionBy("clip"))
-        pairs = at.withColumn("next", F.lead("code", w).over(S.in_clip("start"))).withColumn("last", last).where(F.col("start") < F.col("last") - w)
-        table = pairs.groupBy("clip", F.col("code").alias("ctx"), "next").agg(F.count(F.lit(1)).alias("c"), F.min("start").alias("first"))
-        per = table.groupBy("clip", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("m"), F.max_by("next", F.struct("c", -F.col("first"))).alias("predicted"))
-        for d in directions:
-            first, after = (F.col("place"), F.col("place") + w) if d == "fwd" else (F.col("place") - w, F.col("place") - 2 * w)
-            asked = places.select("clip", "k", "place", first.alias("_first"), after.alias("_after"))
-            asked = asked.join(at.select("clip", F.col("start").alias("_first"), F.col("code").alias("ctx")), ["clip", "_first"]).join(at.select("clip", F.col("start").alias("_after"), F.col("code").alias("actual")), ["clip", "_after"])
-            met = asked.join(per, ["clip", "ctx"], "left").join(table.select("clip", "ctx", F.col("next").alias("actual"), "c"), ["clip", "ctx", "actual"], "left")
-            c, total, seen = F.coalesce("c", F.lit(0)), F.col("total"), F.col("c").isNotNull().cast("long")
-            # of every block the count, and the count of all but it: the actual one first, then the sum over the others
-            chi = randomness.contingency_chi2(c, seen * total - c, total - c, (F.col("m") - seen) * total - (total - c))
-            one = met.select(
-                "clip", "k", "place", F.lit(w).alias("w"), F.lit(d).alias("dir"), F.coalesce("predicted", F.lit(0).cast("long")).alias("predicted"), "actual",
-                F.coalesce(chi, F.lit(0.0)).alias("chi2"), F.coalesce(scalars.chi2_tail(chi, 1), F.lit(1.0)).alias("p"),
-            )
-            out = one if out is None else out.unionByName(one)
-    return out
+    at = stored(_block_codes(seq, bit, windows))
+    table = at.where("paired").groupBy("clip", "w", F.col("code").alias("ctx"), "next").agg(F.count(F.lit(1)).alias("c"), F.min("start").alias("first"))
+    per = table.groupBy("clip", "w", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("m"), F.max_by("next", F.struct("c", -F.col("first"))).alias("predicted"))
+    grid = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(d).alias("dir"), F.lit(0 if d == "fwd" else -w).alias("first"), F.lit(w if d == "fwd" else -2 * w).alias("after")) for w in windows for d in directions))
+    asked = places.select("clip", "k", "place", F.explode(grid).alias("g")).select("clip", "k", "place", "g.w", "g.dir", (F.col("place") + F.col("g.first")).alias("_first"), (F.col("place") + F.col("g.after")).alias("_after"))
+    asked = asked.join(at.select("clip", "w", F.col("start").alias("_first"), F.col("code").alias("ctx")), ["clip", "w", "_first"])
+    asked = asked.join(at.select("clip", "w", F.col("start").alias("_after"), F.col("code").alias("actual")), ["clip", "w", "_after"])
+    met = asked.join(per, ["clip", "w", "ctx"], "left").join(table.select("clip", "w", "ctx", F.col("next").alias("actual"), "c"), ["clip", "w", "ctx", "actual"], "left")
+    c, total, seen = F.coalesce("c", F.lit(0)), F.col("total"), F.col("c").isNotNull().cast("long")
+    # of every block the count, and the count of all but it: the actual one first, then the sum over the others
+    chi = randomness.contingency_chi2(c, seen * total - c, total - c, (F.col("m") - seen) * total - (total - c))
+    return met.select(
+        "clip", "k", "place", "w", "dir", F.coalesce("predicted", F.lit(0).cast("long")).alias("predicted"), "actual",
+        F.coalesce(chi, F.lit(0.0)).alias("chi2"), F.coalesce(scalars.chi2_tail(chi, 1), F.lit(1.0)).alias("p"),
+    )
+
+
+def _block_codes(seq: DataFrame, bit: str, windows: tuple[int, ...]) -> DataFrame:
+    """clip, w, start, code of each window of w bits, next (the code of the one right after it) and whether both count as
+    a pair: the sequence is read and sorted once for all windows."""
+    order, most = S.in_clip(), max(windows)
+    ahead = seq.select("clip", "i", F.count(F.lit(1)).over(Window.partitionBy("clip")).alias("n"), F.array(F.col(bit), *(F.lead(bit, k).over(order) for k in range(1, 2 * most))).alias("_b"))
+    code = lambda first, w: sum((F.col("_b")[first + k].cast("long") * (1 << (w - 1 - k)) for k in range(1, w)), F.col("_b")[first].cast("long") * (1 << (w - 1)))
+    each = F.array(*(F.struct(F.lit(w).alias("w"), code(0, w).alias("code"), code(w, w).alias("next")) for w in windows))
+    out = ahead.select("clip", F.col("i").alias("start"), "n", F.explode(each).alias("e")).select("clip", "e.w", "start", "e.code", "e.next", (F.col("start") < F.col("n") - 2 * F.col("e.w")).alias("paired"))
+    return out.where("code IS NOT NULL")
 
 
 def weighted(details: DataFrame, weight: str, *values: str) -> DataFrame:

@@ -276,7 +276,7 @@ def draw(clip, k):
     return clip * 7919 + k * 104729
 
 
-PLACES_SQL = "sz AS (SELECT clip, count(*) AS n FROM b GROUP BY clip HAVING count(*) > 64), pl AS (SELECT clip, CAST(k AS INTEGER) AS k, 32 + (clip * 7919 + k * 104729) % (n - 63) AS place FROM sz, range(5) r(k))"
+PLACES_SQL = "sz AS (SELECT clip, count(*) AS n FROM b GROUP BY clip HAVING count(*) > 64), pl AS (SELECT clip, CAST(k AS INTEGER) AS k, 32 + (clip * 7919 + k * 104729) % (n - 63) AS place FROM sz, range(50) r(k))"
 
 
 def block_sql(w: int, direction: str) -> str:
@@ -292,15 +292,14 @@ v{name} AS (SELECT q.clip, q.k, q.place, {w} AS w, '{direction}' AS dir, coalesc
  FROM q{name} q LEFT JOIN u{name} u ON u.clip = q.clip AND u.ctx = q.ctx LEFT JOIN t{name} t ON t.clip = q.clip AND t.ctx = q.ctx AND t.nxt = q.actual)"""
 
 
-BLOCKS = ((2, "fwd"), (2, "bwd"), (4, "fwd"))
+BLOCKS = tuple((w, x) for w in (8, 16, 32) for x in ("fwd", "bwd"))
 BLOCK_SQL = ", ".join(block_sql(w, x) for w, x in BLOCKS) + ", bs AS (SELECT *, CASE WHEN c1 IS NULL THEN 0 ELSE (a1 + b1 + c1 + d1) * pow(greatest(0, abs(a1 * d1 - b1 * c1) - (a1 + b1 + c1 + d1) / 2), 2) / ((a1 + b1) * (c1 + d1) * (a1 + c1) * (b1 + d1)) END AS chi2 FROM (" + " UNION ALL ".join(f"SELECT * FROM v{w}{x}" for w, x in BLOCKS) + "))"
 
 
 @query(f"WITH {B_SQL}, {PLACES_SQL}, {BLOCK_SQL} SELECT clip, k, place, w, dir, CAST(predicted AS BIGINT) AS predicted, CAST(actual AS BIGINT) AS actual, round(chi2, 6) AS chi2 FROM bs")
 def block_statistics(spark, d):
     b = bits(spark, d)
-    places = reports.drawn_places(b, 5, draw)
-    out = reports.block_statistics(b, "bit", places, (2,)).unionByName(reports.block_statistics(b, "bit", places, (4,), ("fwd",)))
+    out = reports.block_statistics(b, "bit", reports.drawn_places(b, 50, draw))
     return out.select("clip", "k", "place", "w", "dir", "predicted", "actual", r6("chi2").alias("chi2"))
 
 
