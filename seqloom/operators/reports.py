@@ -74,22 +74,22 @@ def bit_arrays(seq: DataFrame, bit: str) -> DataFrame:
 
 def middle_accuracy(bits: np.ndarray, w: int, direction: str, seed: int) -> tuple[int, float] | None:
     """(tested bits, accuracy) of a network trained on the windows around the middle; None without any."""
-    n, s = len(bits), len(bits) // 2
+    n, forward = len(bits), direction == "fwd"
+    # every place that has a window and a bit to tell, in the order of the walk, and how far it is past the middle
+    places = np.arange(n - w) if forward else np.arange(n - 1, w - 1, -1)
+    past = (places - n // 2) * (1 if forward else -1)
     half = training_size(n) // 2
-    if direction == "fwd":
-        train, test = np.arange(max(0, s - half), min(s + half, n - w)), np.arange(s, n - w)
-        window, target = lambda at: bits[at[:, None] + np.arange(w)], lambda at: bits[at + w]
-    else:
-        train, test = np.arange(min(n - 1, s + half), max(w - 1, s - half), -1), np.arange(s, w - 1, -1)
-        window, target = lambda at: bits[at[:, None] - w + np.arange(w)], lambda at: bits[at - w - 1]
-    if not len(train) or not len(test):
+    train, test = (past >= -half) & (past < half), past >= 0
+    if not train.any() or not test.any():
         return None
-    y = target(train)
-    if len(np.unique(y)) < 2:
-        guess = np.full(len(test), y[0])
+    begin = places if forward else places - w
+    told, windows = bits[begin + w if forward else begin - 1], lambda some: bits[begin[some][:, None] + np.arange(w)].astype(float)
+    y = told[train]
+    if (y == y[0]).all():
+        guess = np.full(int(test.sum()), y[0])
     else:
-        guess = predictors.Network(w, True, seed, epochs=5000).fit(window(train).astype(float), y).predict(window(test).astype(float))[:, 0] > 0.5
-    return len(test), float((guess == target(test)).mean())
+        guess = predictors.Network(w, True, seed, epochs=5000).fit(windows(train), y).predict(windows(test))[:, 0] > 0.5
+    return len(guess), float((guess == told[test]).mean())
 
 
 def block_model(bits: np.ndarray, w: int, seed: int, most: int = 50):
