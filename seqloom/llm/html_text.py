@@ -1,24 +1,28 @@
 """Main text of web pages with site style trees (operator 10).
 
-Pages are parsed into trees of tags. The trees of a host are merged: nodes with the same path of styles (tag and class)
-are one style node. For each style node the host's pages give
+Pages are parsed into trees of tags. The trees of a site are merged: nodes with the same path of styles (tag and class)
+are one style node. A site is a host with `large_host` or more pages; pages of smaller hosts form a site with those that
+share their template, the order of the different styles of their sections. For each style node the site's pages give
 - its presentation importance, the entropy of the ways in which its children are laid out, to the base of its pages;
-- its content importance, one minus the mean entropy of its features (own texts and links) over the host's pages: what stands on every page
-  of the site has 0, what stands on one has 1.
+- its content importance, one minus the mean entropy of its features (own words and links) over the site's pages: what stands on every page
+  of the site has 0, what stands on one has 1. One page more, that shares nothing, is counted in, so that a few pages prove little.
 A page's branch has the composite importance (1 - g^l) * presentation + g^l * mean of its l children's, or the mean
 itself where that is higher, as long lists of like children have one layout; a leaf has its
-content importance. Branches below `least` go. Only style nodes with an importance below 1 go from the hosts' statistics to the
-pages, each a number, so that a host's row is small however many pages it has.
+content importance. A branch goes if it and all inside it are below the bound. Templates draw on few words, whatever they are on one page, so the bound is the site's own: the cut
+that parts the content importances of its style nodes best, each weighed by its pages (least variance on both sides).
+It holds where the means of both sides lie `least_apart` apart and the upper side holds most of the site's words; else,
+and never below, it is `least`. Only style nodes with an importance below 1 go from the sites' statistics to the
+pages, each a few numbers, so that a site's row is small however many pages it has.
 
 What the markup itself says is a prior:
 - Tags and roles that are no text by the standard (navigation, page headers and footers, asides, forms, scripts, styles),
   and classes or ids that are a word for such a part, alone or with words for a place or box (`comments`, `ad-slot`,
   `left-sidebar`), have no importance.
 - A class or id that merely has such a word among others (`related-work`, `share-price`) is a doubt: the branch needs
-  an importance of `doubted`, not `least`.
-- `article` and `main` stay, while the branches inside them are judged like others, so that a template's block in them goes.
+  an importance of `doubted`, where the bound is lower.
+- `article` and `main` stay, while the branches inside them are judged by `least`, so that a template's block in them goes.
   Where nothing of one would be left, as on hosts whose pages all copy one article, it stays whole.
-Style nodes with fewer than `fewest_pages` pages are not judged by statistics.
+Style nodes with fewer than `fewest_pages` pages are not judged by statistics (on one page there is no entropy).
 
 White space in a block is folded, blocks are joined by a space. Null html is empty; pages without a text have "" and
 0. A null or odd url has the host "". Rows that repeat a page_id are parsed each. Empty tables give empty results.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +58,8 @@ PARTS = set("ad ads adv advert adverts advertisement advertising banner sponsor
 BOXES = set("site page main global top bottom left right upper lower inner outer primary secondary box block slot area bar wrap wrapper container list item items unit row col column links link text form panel section content holder inline fixed sticky mobile desktop".split())
 WORD = re.compile(r"[a-z]+|[0-9]+")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"}
+#: The style of a section, in lower-case html: what tells one template from another.
+SECTION = r"""<((?:body|header|nav|main|article|aside|footer|section|div|ul|table|form)(?=[\s/>])(?:[^>]*?\sclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s>]+))?)"""
 SPACES = re.compile(r"\s+")
 
 
@@ -138,42 +145,59 @@ def parse(page: str) -> Node:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature) for each judged style node of each page: kind 0 a layout of children, 1 a feature."""
+    """(host, path, kind, feature, c) for each judged style node: kind 0 a layout of children, 1 a word or link; on c pages of the batch."""
     for batch in batches:
-        host, path, kind, feature = [], [], [], []
+        pages: Counter[tuple[str, int, int, str]] = Counter()
         for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own: set[tuple[int, int, int]] = set()
+            own: set[tuple[str, int, int, str]] = set()
             todo = [parse(page or "")]
             while todo:
                 node = todo.pop()
                 if node.prior < 0:
                     continue
                 inner = [c for c in node.children if isinstance(c, Node)]
-                own.add((node.path, 0, xxhash.xxh64_intdigest("/".join(dict.fromkeys(c.style for c in inner))) - 2**63))
-                text = SPACES.sub(" ", " ".join(c for c in node.children if isinstance(c, str))).strip()
-                for x in [text, *node.links]:
-                    if x:
-                        own.add((node.path, 1, xxhash.xxh64_intdigest(x) - 2**63))
+                own.add((name, node.path, 0, "/".join(dict.fromkeys(c.style for c in inner))))
+                for text in node.children:
+                    if isinstance(text, str):
+                        own.update((name, node.path, 1, x) for x in text.split())
+                own.update((name, node.path, 1, "@ " + x) for x in node.links)  # no word has a space
                 todo += inner
-            for p, k, f in own:
-                host.append(name)
-                path.append(p)
-                kind.append(k)
-                feature.append(f)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())], ["host", "path", "kind", "feature"])
+            pages.update(own)
+        host, path, kind, feature = zip(*pages, strict=True) if pages else ((), (), (), ())
+        columns = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array([xxhash.xxh64_intdigest(x) - 2**63 for x in feature], pa.int64()), pa.array(pages.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "feature", "c"])
 
 
 def style_trees(pages: DataFrame, fewest_pages: int) -> DataFrame:
-    """host, styles: array of (path, presentation, content) of its style nodes that have less than full importance."""
-    rows = pages.select("host", "html").mapInArrow(_statistics, "host string, path long, kind int, feature long")
-    counted = rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
+    """host (the site), styles: array of its style nodes with less than full importance: path, presentation p, content c, pages m, words on them n (0: none)."""
+    rows = pages.select("host", "html").mapInArrow(_statistics, "host string, path long, kind int, feature long, c long")
+    counted = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("c").alias("c"))
     of_kind = lambda k, x: F.sum(F.when(F.col("kind") == k, x))
     c = F.col("c")
     # a page has one layout of a node: the layouts' counts add up to the node's pages
-    nodes = counted.groupBy("host", "path").agg(of_kind(0, c).alias("m"), of_kind(0, c * F.ln(c)).alias("l"), of_kind(1, F.ln(c)).alias("f"), of_kind(1, F.lit(1)).alias("n"))
+    nodes = counted.groupBy("host", "path").agg(
+        of_kind(0, c).alias("m"), of_kind(0, c * F.ln(c)).alias("l"), of_kind(1, F.ln(c)).alias("f"), of_kind(1, F.lit(1)).alias("k"), F.coalesce(of_kind(1, c), F.lit(0)).alias("n")
+    )
     m = F.ln("m")
-    rated = nodes.where(F.col("m") >= fewest_pages).select("host", "path", F.least(F.lit(1.0), 1 - F.col("l") / (F.col("m") * m)).alias("p"), F.when(F.col("n") > 0, F.greatest(F.lit(0.0), 1 - F.col("f") / (F.col("n") * m))).otherwise(1.0).alias("c"))
-    return rated.where("p < 1 OR c < 1").groupBy("host").agg(F.collect_list(F.struct("path", "p", "c")).alias("styles"))
+    content = F.when(F.col("k") > 0, 1 - F.least(F.lit(1.0), F.col("f") / (F.col("k") * m)) * F.col("m") / (F.col("m") + 1)).otherwise(1.0)
+    rated = nodes.where(F.col("m") >= max(2, fewest_pages)).select("host", "path", F.least(F.lit(1.0), 1 - F.col("l") / (F.col("m") * m)).alias("p"), content.alias("c"), "m", "n")
+    return rated.where("p < 1 OR c < 1").groupBy("host").agg(F.collect_list(F.struct("path", "p", "c", "m", "n")).alias("styles"))
+
+
+def site_bound(styles: list[dict], least: float, least_apart: float) -> float:
+    """The importance that a branch outside the main content needs on a site with these style nodes."""
+    known = sorted((s["c"], s["m"], s["n"]) for s in styles if s["n"])
+    weights, words = sum(m for _, m, _ in known), sum(n for _, _, n in known)
+    total = sum(c * m for c, m, _ in known)
+    best, bound = 0.0, least
+    low = mass = below = 0.0
+    for (c, m, n), (after, _, _) in zip(known, known[1:], strict=False):
+        low, mass, below = low + c * m, mass + m, below + n
+        apart = (total - low) / (weights - mass) - low / mass
+        if after > c and apart * apart * mass * (weights - mass) > best:
+            best = apart * apart * mass * (weights - mass)
+            bound = (c + after) / 2 if apart >= least_apart and below < words / 2 else least
+    return max(bound, least)
 
 
 def importances(root: Node, known: dict[int, tuple[float, float]], decay: float) -> dict[int, float]:
@@ -197,21 +221,26 @@ def importances(root: Node, known: dict[int, tuple[float, float]], decay: float)
     return importance
 
 
-def kept_nodes(root: Node, known: dict[int, tuple[float, float]], least: float, doubted: float, decay: float) -> set[int]:
-    """The nodes that stay: those above the bounds, and the main content with the nodes above it."""
+def kept_nodes(root: Node, known: dict[int, tuple[float, float]], least: float, doubted: float, decay: float, bound: float) -> set[int]:
+    """The nodes that stay: those above the bounds with the nodes above them, and the main content."""
     importance = importances(root, known, decay)
     stay: set[int] = set()
+    doubts: set[int] = set()  # nodes whose name, or that of one above them, is a doubt
     below: dict[int, tuple[bool, bool]] = {}  # node: whether main content is in it, whether text of it stays
     order, steps = [], [root]
     while steps:
         node = steps.pop()
         order.append(node)
-        steps += [c for c in node.children if isinstance(c, Node) and c.prior >= 0]
+        inner = [c for c in node.children if isinstance(c, Node) and c.prior >= 0]
+        if node.doubt or id(node) in doubts:
+            doubts.update(map(id, [node, *inner]))
+        steps += inner
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node) and c.prior >= 0]
         holds = node.main or any(below[id(c)][0] for c in inner)
         value = importance[id(node)]
-        if holds or value >= (doubted if node.doubt else least):
+        needed = least if node.prior > 0 else bound
+        if holds or value >= (max(doubted, needed) if id(node) in doubts else needed) or any(id(c) in stay for c in inner):
             stay.add(id(node))
         text = any(isinstance(c, str) and c.strip() for c in node.children) or any(id(c) in stay and below[id(c)][1] for c in inner)
         below[id(node)] = (holds, text)
@@ -225,8 +254,8 @@ def kept_nodes(root: Node, known: dict[int, tuple[float, float]], least: float,
     return stay
 
 
-def main_text(root: Node, known: dict[int, tuple[float, float]], least: float = 0.1, doubted: float = 0.5, decay: float = 0.9) -> str:
-    stay = kept_nodes(root, known, least, doubted, decay)
+def main_text(root: Node, known: dict[int, tuple[float, float]], least: float = 0.1, doubted: float = 0.5, decay: float = 0.9, bound: float = 0.1) -> str:
+    stay = kept_nodes(root, known, least, doubted, decay, bound)
     out: list[str] = []
     block: list[str] = []
 
@@ -258,30 +287,43 @@ def main_text(root: Node, known: dict[int, tuple[float, float]], least: float =
     return " ".join(out)
 
 
-def _texts(least: float, doubted: float):
+def _texts(least: float, doubted: float, least_apart: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, dict] = {}
+            held: dict[str, tuple[dict, float]] = {}
             texts = []
             hosts = batch.column("host").to_pylist()
             styles = batch.column("styles")
             for i, page in enumerate(batch.column("html").to_pylist()):
                 if hosts[i] not in held:
-                    held[hosts[i]] = {s["path"]: (s["p"], s["c"]) for s in styles[i].as_py() or ()}
-                texts.append(main_text(parse(page or ""), held[hosts[i]], least, doubted))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                    found = styles[i].as_py() or []
+                    held[hosts[i]] = {s["path"]: (s["p"], s["c"]) for s in found}, site_bound(found, least, least_apart)
+                known, bound = held[hosts[i]]
+                texts.append(main_text(parse(page or ""), known, least, doubted, bound=bound))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, least: float = 0.1, doubted: float = 0.5, fewest_pages: int = 5) -> DataFrame:
+def sites(pages: DataFrame, large_host: int) -> DataFrame:
+    """pages (host, html, others) with `host` replaced by the site: the host where it is large, else the page's template."""
+    large = stored(pages.groupBy(F.col("host").alias("large")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= large_host).select("large"))
+    styles = F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(SECTION), F.lit(1))
+    template = F.concat(F.lit("#"), F.xxhash64(F.array_join(F.array_distinct(styles), ">")).cast("string"))
+    return pages.join(large, F.col("host") == F.col("large"), "left").withColumn("host", F.coalesce("large", template)).drop("large")
+
+
+def extract(pages: DataFrame, least: float = 0.1, doubted: float = 0.5, fewest_pages: int = 2, large_host: int = 64, least_apart: float = 0.04) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html). least, doubted: the importance that a
-    branch needs, and one that its name puts in doubt. fewest_pages: beyond any number, no host is judged by statistics."""
+    branch needs at the least, and one that its name puts in doubt. fewest_pages: beyond any number, nothing is judged by
+    statistics. large_host, least_apart: see above."""
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    pages = sites(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")), large_host)
     trees = stored(style_trees(pages, fewest_pages))  # of known size from here on: Spark broadcasts it only if it is small
-    return pages.join(trees, "host", "left").select("page_id", "url", "html", "host", "styles").mapInArrow(_texts(least, doubted), "page_id long, url string, text string, n_chars long")
+    joined = pages.join(trees, "host", "left").select("page_id", "url", "html", "host", "styles")
+    return joined.mapInArrow(_texts(least, doubted, least_apart), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
