@@ -32,9 +32,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -145,27 +146,33 @@ def parse(page: str) -> Node:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, c) for each judged style node: kind 0 a layout of children, 1 a word or link; on c pages of the batch."""
+    """(host, path, kind, feature, c) for each judged style node: kind 0 a layout of children, 1 a word or link; on c pages
+    of the batch. Features of a node are told apart by 40 bits of their hashes."""
     for batch in batches:
-        pages: Counter[tuple[str, int, int, str]] = Counter()
+        pages: defaultdict[tuple[str, int, int], Counter[str]] = defaultdict(Counter)
         for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own: set[tuple[str, int, int, str]] = set()
+            own: defaultdict[tuple[int, int], set[str]] = defaultdict(set)
             todo = [parse(page or "")]
             while todo:
                 node = todo.pop()
                 if node.prior < 0:
                     continue
                 inner = [c for c in node.children if isinstance(c, Node)]
-                own.add((name, node.path, 0, "/".join(dict.fromkeys(c.style for c in inner))))
+                own[node.path, 0].add("/".join(dict.fromkeys(c.style for c in inner)))
                 for text in node.children:
-                    if isinstance(text, str):
-                        own.update((name, node.path, 1, x) for x in text.split())
-                own.update((name, node.path, 1, "@ " + x) for x in node.links)  # no word has a space
+                    if isinstance(text, str) and not text.isspace():
+                        own[node.path, 1].update(text.split())
+                for x in node.links:
+                    own[node.path, 1].add("@ " + x)  # no word has a space
                 todo += inner
-            pages.update(own)
-        host, path, kind, feature = zip(*pages, strict=True) if pages else ((), (), (), ())
-        columns = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array([xxhash.xxh64_intdigest(x) - 2**63 for x in feature], pa.int64()), pa.array(pages.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "feature", "c"])
+            for (path, kind), found in own.items():
+                pages[name, path, kind].update(found)
+        host, path, kind = zip(*pages, strict=True) if pages else ((), (), ())
+        node = np.repeat(np.arange(len(pages)), [len(found) for found in pages.values()])
+        feature = [xxhash.xxh64_intdigest(x) & (1 << 40) - 1 for found in pages.values() for x in found]
+        c = [k for found in pages.values() for k in found.values()]
+        columns = [pa.array(host, pa.string()).take(pa.array(node)), np.array(path, np.int64)[node], np.array(kind, np.int32)[node], np.array(feature, np.int64), np.array(c, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["host", "path", "kind", "feature", "c"])
 
 
 def style_trees(pages: DataFrame, fewest_pages: int) -> DataFrame:
