@@ -42,10 +42,20 @@ def block_transitions(seq: DataFrame, bit: str, w: int) -> DataFrame:
 
 def counted_predictor(seq: DataFrame, bit: str, w: int, share: float = 0.8) -> DataFrame:
     """clip, n_test, delta: the test accuracy, less a half, of the bit that the training part saw more often after the same context."""
-    rows = S.split(S.windows(seq, bit, w), share=share)
-    seen = rows.where("part = 'train'").groupBy("clip", "ctx").agg((2 * F.sum("y") > F.count(F.lit(1))).cast("int").alias("guess"))
-    test = rows.where("part = 'test'").join(seen, ["clip", "ctx"], "left")
-    return test.groupBy("clip").agg(F.count(F.lit(1)).alias("n_test"), (F.avg((F.coalesce("guess", F.lit(0)) == F.col("y")).cast("double")) - 0.5).alias("delta"))
+    return counted_predictors(seq, bit, (w,), share).drop("w")
+
+
+def counted_predictors(seq: DataFrame, bit: str, widths: tuple[int, ...], share: float = 0.8) -> DataFrame:
+    """clip, w, n_test, delta for windows of every width in one pass: a context's training and test bits are counted
+    together, so that nothing is joined."""
+    rows = S.all_windows(seq, bit, widths).withColumn("train", F.col("i") < F.floor(F.col("n") * share))
+    y, train = F.col("y"), F.col("train")
+    per = rows.groupBy("clip", "w", "ctx").agg(
+        F.coalesce(F.sum(F.when(train, 2 * y - 1)), F.lit(0)).alias("lean"), F.count_if(~train).alias("n"), F.coalesce(F.sum(F.when(~train, y)), F.lit(0)).alias("ones")
+    )
+    right = F.when(F.col("lean") > 0, F.col("ones")).otherwise(F.col("n") - F.col("ones"))
+    out = per.groupBy("clip", "w").agg(F.sum("n").alias("n_test"), F.sum(right).alias("right")).where("n_test > 0")
+    return out.select("clip", "w", "n_test", (F.col("right") / F.col("n_test") - 0.5).alias("delta"))
 
 
 def legacy_statistics(seq: DataFrame, bit: str, w: int) -> DataFrame:

@@ -30,42 +30,43 @@ def training_size(n: Column | int) -> Column | int:
 
 
 def middle_windows(seq: DataFrame, bit: str, w: int, direction: str) -> DataFrame:
-    """clip, i, ctx, y, train, test: windows and the bit after them (fwd) or before them (bwd), and whether they train,
-    as those around the middle do, or are tested, as those from the middle on are.
+    return all_middle_windows(seq, bit, (w,), (direction,)).drop("w", "dir")
+
+
+def all_middle_windows(seq: DataFrame, bit: str, windows: tuple[int, ...], directions: tuple[str, ...]) -> DataFrame:
+    """clip, w, dir, i, ctx, y, train, test: windows and the bit after them (fwd) or before them (bwd), and whether they
+    train, as those around the middle do, or are tested, as those from the middle on are. The sequence is read and sorted
+    once for all.
 
     Going backwards the window at place w is followed by the sequence's last bit."""
-    whole = Window.partitionBy("clip")
-    n = F.count(F.lit(1)).over(whole)
-    middle, half = F.floor(n / 2), F.floor(training_size(n) / 2)
-    v = S.in_clip()
-    rows = seq.select("clip", "i", S.context(bit, w).cast("long").alias("ctx"), F.col(bit).alias("own"), F.lag(bit, w + 1).over(v).alias("before"), F.last(bit).over(v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"), middle.alias("s"), half.alias("h"), n.alias("n"))
-    rows = rows.where(F.col("i") >= w)
-    s, h, size = F.col("s"), F.col("h"), F.col("n")
-    if direction == "fwd":
-        at = F.col("i") - w
-        train = (at >= F.greatest(F.lit(0), s - h)) & (at < F.least(s + h, size - w))
-        return rows.select("clip", at.alias("i"), "ctx", F.col("own").alias("y"), train.alias("train"), (at >= s).alias("test"))
-    at = F.col("i")
-    train = (at <= F.least(size - 1, s + h)) & (at > F.greatest(F.lit(w - 1), s - h))
-    return rows.select("clip", "i", "ctx", F.coalesce("before", "end").alias("y"), train.alias("train"), (at <= s).alias("test"))
+    n, order = F.count(F.lit(1)).over(Window.partitionBy("clip")), S.in_clip()
+    end = F.last(bit).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.array(*(F.lag(bit, w + 1).over(order) for w in windows)).alias("_before")
+    rows = S.masked(seq.select("clip", "i", F.col(bit).alias("_own"), S.longest_context(bit, max(windows)), before, end.alias("_end"), n.alias("_n")), windows)
+    w, i, size = F.col("w"), F.col("i"), F.col("_n")
+    # how far a window's place is past the middle, in the direction of the walk
+    middle, half = F.floor(size / 2), F.floor(training_size(size) / 2)
+    told = F.coalesce(F.try_element_at("_before", F.array_position(F.lit(list(windows)), w).cast("int")), F.col("_end"))
+    forward = F.struct(F.lit("fwd").alias("dir"), (i - w).alias("i"), F.col("_own").alias("y"), (i - w - middle).alias("past"))
+    backward = F.struct(F.lit("bwd").alias("dir"), i.alias("i"), told.alias("y"), (middle - i).alias("past"))
+    each = rows.select("clip", "w", "ctx", half.alias("half"), F.explode(F.array(*(forward if d == "fwd" else backward for d in directions))).alias("e"))
+    past, half = F.col("e.past"), F.col("half")
+    return each.select("clip", "w", "e.dir", "e.i", "ctx", "e.y", ((past >= -half) & (past < half)).alias("train"), (past >= 0).alias("test"))
 
 
 def middle_statistics(seq: DataFrame, bit: str, windows: tuple[int, ...] = WINDOWS, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
     """clip, w, dir, tests, chi2, p: means over the tested windows that training has seen of the chi-square of their
-    training bits against evenness, over the bits that occurred, and of its tail at one degree of freedom."""
-    out = None
-    for w in windows:
-        for d in directions:
-            rows = middle_windows(seq, bit, w, d)
-            n, ones = F.count(F.lit(1)), F.sum("y")
-            term = lambda c: F.when(c > 0, F.pow(c - n / 2, 2) / (n / 2)).otherwise(0.0)  # noqa: E731, B023
-            seen = rows.where("train").groupBy("clip", "ctx").agg((term(ones) + term(n - ones)).alias("chi2"))
-            seen = seen.withColumn("p", scalars.chi2_tail(F.col("chi2"), 1))
-            met = rows.where("test").join(seen, ["clip", "ctx"])
-            one = met.groupBy("clip").agg(F.count(F.lit(1)).alias("tests"), F.avg("chi2").alias("chi2"), F.avg("p").alias("p"))
-            one = one.select("clip", F.lit(w).alias("w"), F.lit(d).alias("dir"), "tests", "chi2", "p")
-            out = one if out is None else out.unionByName(one)
-    return out
+    training bits against evenness, over the bits that occurred, and of its tail at one degree of freedom. A context's
+    training and test windows are counted together, so that nothing is joined."""
+    train, y = F.col("train"), F.col("y")
+    per = all_middle_windows(seq, bit, windows, directions).groupBy("clip", "w", "dir", "ctx").agg(
+        F.count_if(train).alias("n"), F.sum(F.when(train, y)).alias("ones"), F.count_if(F.col("test")).alias("tests")
+    )
+    n, ones, tests = F.col("n"), F.col("ones"), F.col("tests")
+    term = lambda c: F.when(c > 0, F.pow(c - n / 2, 2) / (n / 2)).otherwise(0.0)
+    met = per.where((n > 0) & (tests > 0)).withColumn("chi2", term(ones) + term(n - ones)).withColumn("p", scalars.chi2_tail(F.col("chi2"), 1))
+    mean = lambda c: (F.sum(F.col(c) * tests) / F.sum(tests)).alias(c)
+    return met.groupBy("clip", "w", "dir").agg(F.sum(tests).alias("_t"), mean("chi2"), mean("p")).select("clip", "w", "dir", F.col("_t").alias("tests"), "chi2", "p")
 
 
 def bit_arrays(seq: DataFrame, bit: str) -> DataFrame:

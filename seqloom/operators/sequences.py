@@ -88,6 +88,25 @@ def windows(seq: DataFrame, bit: str, w: int) -> DataFrame:
     return out.withColumn("i", F.col("i") - w)
 
 
+def all_windows(seq: DataFrame, bit: str, widths: tuple[int, ...]) -> DataFrame:
+    """clip, w, i, ctx, y, n: the windows of every width, and n, how many of that width the clip has. The sequence is read and sorted once."""
+    return masked(seq.select("clip", "i", F.col(bit).alias("y"), longest_context(bit, max(widths)), F.count(F.lit(1)).over(Window.partitionBy("clip")).alias("_n")), widths).select(
+        "clip", "w", (F.col("i") - F.col("w")).alias("i"), "ctx", "y", (F.col("_n") - F.col("w")).alias("n")
+    )
+
+
+def longest_context(bit: str, most: int) -> Column:
+    """The context of `most` bits; those before the sequence count as 0."""
+    order = in_clip()
+    return sum((F.coalesce(F.lag(bit, k).over(order), F.lit(0)).cast("long") * (1 << (k - 1)) for k in range(1, most + 1)), F.lit(0).cast("long")).alias("_c")
+
+
+def masked(rows: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """A row for each width whose window is whole, with w and ctx: a shorter context is the end of a longer one."""
+    each = F.array(*(F.struct(F.lit(w).alias("w"), F.col("_c").bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("ctx")) for w in widths))
+    return rows.withColumn("_e", F.explode(each)).select("*", "_e.*").drop("_e", "_c").where(F.col("i") >= F.col("w"))
+
+
 def blocks(seq: DataFrame, bit: str, w: int) -> DataFrame:
     """clip, b, code, n: blocks of w bits as numbers; those that are not whole go."""
     place = F.col("i") % w

@@ -114,22 +114,32 @@ def check_grid(spark, d):
 
 SPECS = ["clean", "g711a", "g711u+loss5", "amrnb_12.2", "amrnb_12.2+loss10+snr20", "amrwb_23.85+snr-5+loss2.5", "amrnb_12.2+loss1+loss3", "amrnb_4.75", "amrnb", "amrnb_9.9", "g711a_64", "clean+loss101", "clean+noise3", "mp3_128", "", "amrwb_6.60"]
 
-
-@query(f"""
-WITH v AS (SELECT unnest({SPECS}) AS spec), p AS (
- SELECT spec, split_part(spec, '+', 1) AS head, string_split(spec, '+')[2:] AS mods FROM v), q AS (
- SELECT spec, head, mods, regexp_extract(head, '^([a-z0-9]+)', 1) AS codec, TRY_CAST(regexp_extract(head, '^[a-z0-9]+_([0-9]+(?:\\.[0-9]+)?)$', 1) AS DOUBLE) AS rate,
+#: Specifications of the parts: one of the list above, and a modifier with the part's size.
+SPEC_SQL = f"""
+v AS (SELECT p_partkey, ({SPECS})[p_partkey % {len(SPECS)} + 1] || CASE (p_partkey // {len(SPECS)}) % 4 WHEN 1 THEN '+loss' || p_size WHEN 2 THEN '+snr-' || p_size WHEN 3 THEN '+loss' || (p_size * 3) || '.5' ELSE '' END AS spec FROM part), p AS (
+ SELECT p_partkey, spec, split_part(spec, '+', 1) AS head, string_split(spec, '+')[2:] AS mods FROM v), q AS (
+ SELECT p_partkey, spec, head, mods, regexp_extract(head, '^([a-z0-9]+)', 1) AS codec, TRY_CAST(regexp_extract(head, '^[a-z0-9]+_([0-9]+(?:\\.[0-9]+)?)$', 1) AS DOUBLE) AS rate,
  list_transform(list_filter(mods, lambda m: regexp_full_match(m, 'loss[0-9]+(\\.[0-9]+)?')), lambda m: CAST(substr(m, 5) AS DOUBLE)) AS ls,
  list_transform(list_filter(mods, lambda m: regexp_full_match(m, 'snr-?[0-9]+(\\.[0-9]+)?')), lambda m: CAST(substr(m, 4) AS DOUBLE)) AS ns FROM p), r AS (
  SELECT *, coalesce(ls[-1], 0.0) AS loss, ns[-1] AS snr,
  CASE WHEN len(ls) + len(ns) <> len(mods) OR coalesce(ls[-1], 0) > 100 THEN false WHEN codec IN ('clean', 'g711a', 'g711u') THEN head = codec
  WHEN codec = 'amrnb' THEN coalesce(rate IN (4.75, 5.15, 5.9, 6.7, 7.4, 7.95, 10.2, 12.2), false)
- WHEN codec = 'amrwb' THEN coalesce(rate IN (6.6, 8.85, 12.65, 14.25, 15.85, 18.25, 19.85, 23.05, 23.85), false) ELSE false END AS valid FROM q)
-SELECT spec, valid, CASE WHEN valid THEN codec END AS codec, CASE WHEN valid THEN rate END AS bitrate_kbps, CASE WHEN valid THEN CAST(loss AS DOUBLE) END AS loss_pct, CASE WHEN valid THEN snr END AS snr_db FROM r
+ WHEN codec = 'amrwb' THEN coalesce(rate IN (6.6, 8.85, 12.65, 14.25, 15.85, 18.25, 19.85, 23.05, 23.85), false) ELSE false END AS valid FROM q)"""
+
+
+def specified(spark, d):
+    turn, size = F.floor(F.col("p_partkey") / len(SPECS)) % 4, F.col("p_size")
+    more = F.when(turn == 1, F.concat(F.lit("+loss"), size)).when(turn == 2, F.concat(F.lit("+snr-"), size)).when(turn == 3, F.concat(F.lit("+loss"), size * 3, F.lit(".5"))).otherwise("")
+    one = F.element_at(F.lit(SPECS), (F.col("p_partkey") % len(SPECS) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(one, more).alias("spec")).withColumn("p", channel_spec.parse(F.col("spec")))
+
+
+@query(f"""
+WITH {SPEC_SQL}
+SELECT p_partkey, spec, valid, CASE WHEN valid THEN codec END AS codec, CASE WHEN valid THEN rate END AS bitrate_kbps, CASE WHEN valid THEN CAST(loss AS DOUBLE) END AS loss_pct, CASE WHEN valid THEN snr END AS snr_db FROM r
 """)
 def channel_spec_parse(spark, d):
-    t = spark.createDataFrame([(s,) for s in SPECS], "spec string").withColumn("p", channel_spec.parse(F.col("spec")))
-    return t.select("spec", "p.valid", "p.codec", "p.bitrate_kbps", "p.loss_pct", "p.snr_db")
+    return specified(spark, d).select("p_partkey", "spec", "p.valid", "p.codec", "p.bitrate_kbps", "p.loss_pct", "p.snr_db")
 
 
 @query("""

@@ -13,7 +13,7 @@ from ..operators import sequences as S
 from ..sources import manifest, shared, signals
 from ..streaming import scoring
 from ..streaming.verdicts import streaming_sprt
-from .catalogue import A_SQL, B_SQL, E_SQL, I_SQL, M_SQL, R_SQL, SCORED_SQL, SPECS, SPRT_SQL, _centred, bits, calls, events, items, manifest_rows, query, r6, scored
+from .catalogue import A_SQL, B_SQL, E_SQL, I_SQL, M_SQL, R_SQL, SCORED_SQL, SPEC_SQL, SPRT_SQL, _centred, bits, calls, events, items, manifest_rows, query, r6, scored, specified
 
 ODD_FACTORIALS = [float(math.prod(range(1, 2 * k + 2, 2))) for k in range(70)]
 
@@ -44,10 +44,7 @@ DELTAS_SQL = ", ".join(deltas_sql(w) for w in WS) + ", dl AS (" + " UNION ALL ".
 
 def deltas(spark, d):
     """clip, mode, w, dir, n_test, delta, check_id of the counting predictor, for three windows."""
-    b, out = bits(spark, d), None
-    for w in WS:
-        one = randomness.counted_predictor(b, "bit", w).select("clip", F.lit("bit").alias("mode"), F.lit(w).alias("w"), F.lit("fwd").alias("dir"), "n_test", "delta")
-        out = one if out is None else out.unionByName(one)
+    out = randomness.counted_predictors(bits(spark, d), "bit", WS).select("clip", F.lit("bit").alias("mode"), "w", F.lit("fwd").alias("dir"), "n_test", "delta")
     return out.withColumn("check_id", scalars.check_id(F.lit("A"), F.col("mode"), F.col("w"), F.col("dir")))
 
 
@@ -144,12 +141,26 @@ def scalar_functions(spark, d):
 
 
 @query(f"""
-SELECT spec, canonical, CASE WHEN canonical LIKE 'g711%' OR canonical LIKE 'amrnb%' THEN 8000 WHEN canonical LIKE 'amrwb%' THEN 16000 ELSE 44100 END AS rate FROM (VALUES ('clean', 'clean'), ('g711a', 'g711a'), ('g711u+loss5', 'g711u+loss5'), ('amrnb_12.2', 'amrnb_12.2'),
- ('amrnb_12.2+loss10+snr20', 'amrnb_12.2+loss10+snr20'), ('amrwb_23.85+snr-5+loss2.5', 'amrwb_23.85+loss2.5+snr-5'), ('amrnb_12.2+loss1+loss3', 'amrnb_12.2+loss3'), ('amrnb_4.75', 'amrnb_4.75'), ('amrwb_6.60', 'amrwb_6.6')) t(spec, canonical)
+WITH {SPEC_SQL}, k AS (SELECT p_partkey, spec, codec || CASE WHEN codec LIKE 'amr%' THEN '_' || regexp_replace(CAST(rate AS VARCHAR), '\\.0$', '') ELSE '' END || CASE WHEN loss > 0 THEN '+loss' || regexp_replace(CAST(CAST(loss AS DOUBLE) AS VARCHAR), '\\.0$', '') ELSE '' END
+ || CASE WHEN snr IS NULL THEN '' ELSE '+snr' || regexp_replace(CAST(CAST(snr AS DOUBLE) AS VARCHAR), '\\.0$', '') END AS canonical FROM r WHERE valid)
+SELECT p_partkey, spec, canonical, CASE WHEN canonical LIKE 'g711%' OR canonical LIKE 'amrnb%' THEN 8000 WHEN canonical LIKE 'amrwb%' THEN 16000 ELSE 44100 END AS rate FROM k
 """)
 def channel_spec_canonical(spark, d):
-    t = spark.createDataFrame([(s,) for s in SPECS], "spec string").withColumn("p", channel_spec.parse(F.col("spec"))).where("p.valid")
-    return t.select("spec", channel_spec.canonical(F.col("p")).alias("canonical"), channel_spec.target_rate(F.col("p.codec"), F.lit(44100)).alias("rate"))
+    return specified(spark, d).where("p.valid").select("p_partkey", "spec", channel_spec.canonical(F.col("p")).alias("canonical"), channel_spec.target_rate(F.col("p.codec"), F.lit(44100)).alias("rate"))
+
+
+REGISTER_BITS = 96
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT s_suppkey AS clip, 0 AS i, list_transform(range(32), lambda j: CAST((CASE s_suppkey WHEN 0 THEN 1 ELSE s_suppkey END >> CAST(31 - j AS INTEGER)) & 1 AS INTEGER)) AS h FROM supplier
+ UNION ALL SELECT clip, i + 1, list_append(h[2:], xor(xor(h[1], h[11]), xor(h[31], h[32]))) FROM r WHERE i < {REGISTER_BITS - 1})
+SELECT CAST(clip AS BIGINT) AS clip, CAST(i AS BIGINT) AS i, h[32] AS bit FROM r
+""")
+def register_bits(spark, d):
+    """The feedback register's bits, a sequence seeded by each supplier's key."""
+    seeds = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("clip"))
+    return signals.generated_bits(spark, "lfsr", REGISTER_BITS, seeds)
 
 
 # voicing, symbols, periods
@@ -257,18 +268,19 @@ r{name} AS ({rows}), f{name} AS (SELECT clip, ctx, CASE WHEN sum(y) > 0 THEN pow
 o{name} AS (SELECT clip, {w} AS w, '{direction}' AS dir, count(*) AS tests, avg(chi2) AS chi2, avg({erfc_sql('chi2')}) AS p FROM r{name} JOIN f{name} USING (clip, ctx) WHERE {test} GROUP BY clip)"""
 
 
-MIDDLE = ((3, "fwd"), (3, "bwd"), (8, "fwd"), (8, "bwd"))
+MIDDLES = (3, 8, 16, 32)
+MIDDLE = tuple((w, x) for w in MIDDLES for x in ("fwd", "bwd"))
 MIDDLE_SQL = ", ".join(middle_sql(w, x) for w, x in MIDDLE) + ", ms AS (" + " UNION ALL ".join(f"SELECT * FROM o{w}{x}" for w, x in MIDDLE) + ")"
 
 
 @query(f"WITH {B_SQL}, {MIDDLE_SQL} SELECT clip, w, dir, tests, round(chi2, 6) AS chi2, round(p, 6) AS p FROM ms")
 def middle_statistics(spark, d):
-    return reports.middle_statistics(bits(spark, d), "bit", (3, 8)).select("clip", "w", "dir", "tests", r6("chi2").alias("chi2"), r6("p").alias("p"))
+    return reports.middle_statistics(bits(spark, d), "bit", MIDDLES).select("clip", "w", "dir", "tests", r6("chi2").alias("chi2"), r6("p").alias("p"))
 
 
 @query(f"WITH {B_SQL}, {MIDDLE_SQL} SELECT clip, CAST(sum(tests) AS BIGINT) AS total, round(sum(chi2 * tests) / sum(tests), 6) AS chi2, round(sum(p * tests) / sum(tests), 6) AS p, sum(p * tests) / sum(tests) > 0.05 AS strong FROM ms GROUP BY clip")
 def weighted_statistics(spark, d):
-    t = reports.weighted(reports.middle_statistics(bits(spark, d), "bit", (3, 8)), "tests", "chi2", "p")
+    t = reports.weighted(reports.middle_statistics(bits(spark, d), "bit", MIDDLES), "tests", "chi2", "p")
     return t.select("clip", "total", r6("chi2").alias("chi2"), r6("p").alias("p"), (F.col("p") > 0.05).alias("strong"))
 
 

@@ -124,8 +124,8 @@ def feedback_register(seed: int, n: int) -> np.ndarray:
     return out[31 : 31 + n]
 
 
-def generated_bits(spark: SparkSession, kind: str, n: int, seeds: list[int]) -> DataFrame:
-    """clip, i, bit: n bits from each seed. kind: urandom, mt (Mersenne Twister) or lfsr (32-bit feedback register)."""
+def generated_bits(spark: SparkSession, kind: str, n: int, seeds: list[int] | DataFrame) -> DataFrame:
+    """clip, i, bit: n bits from each seed (a list, or a table with a column clip). kind: urandom, mt (Mersenne Twister) or lfsr (32-bit feedback register)."""
     if kind not in ("urandom", "mt", "lfsr"):
         raise ValueError(f"unknown generator {kind!r}")
 
@@ -144,7 +144,9 @@ def generated_bits(spark: SparkSession, kind: str, n: int, seeds: list[int]) ->
                     part = x[at : at + 100_000]
                     yield pd.DataFrame({"clip": seed, "i": np.arange(at, at + len(part)), "bit": part.astype(np.int32)})
 
-    return spark.createDataFrame([(s,) for s in seeds], "clip long").repartition(max(1, len(seeds))).mapInPandas(run, "clip long, i long, bit int")
+    if not isinstance(seeds, DataFrame):
+        seeds = spark.createDataFrame([(s,) for s in seeds], "clip long").repartition(max(1, len(seeds)))
+    return seeds.select(F.col("clip").cast("long")).mapInPandas(run, "clip long, i long, bit int")
 
 
 def vowel(spark: SparkSession, sr: int = 16000, seconds: float = 2.0, pitch: float = 140.0, gap: float = 0.25) -> DataFrame:
