@@ -32,30 +32,26 @@ def long_enough(bits: DataFrame, least: int = LEAST_BITS) -> DataFrame:
 
 def transitions(bits: DataFrame, bit: str, segments: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """channel, order, ctx, b, p: how often a bit follows a context in a channel's clips, one added to every cell."""
-    out, of = None, segments.select("clip", "channel")
-    for order in orders:
-        counts = randomness.markov_counts(bits, bit, order).join(of, "clip")
-        total = counts.groupBy("channel", "ctx", "b").agg((F.sum(F.col("o") - 1) + 1).alias("o"))
-        one = total.select("channel", F.lit(order).alias("order"), "ctx", "b", (F.col("o") / F.sum("o").over(Window.partitionBy("channel", "ctx"))).alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = randomness.all_markov_counts(bits, bit, orders).join(segments.select("clip", "channel"), "clip")
+    total = counts.groupBy("channel", "order", "ctx", "b").agg((F.sum(F.col("o") - 1) + 1).alias("o"))
+    return total.select("channel", "order", "ctx", "b", (F.col("o") / F.sum("o").over(Window.partitionBy("channel", "order", "ctx"))).alias("p"))
 
 
 def markov_p(bits: DataFrame, bit: str, segments: DataFrame, pi0: DataFrame | None, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """clip, order, chi2, p: each clip's transitions against its channel's, or against evenness."""
-    out, of = None, segments.select("clip", "channel")
-    for order in orders:
-        counts = randomness.markov_counts(bits, bit, order).join(of, "clip")
-        counts = counts.withColumn("n", F.sum("o").over(Window.partitionBy("clip", "ctx")))
-        if pi0 is None:
-            counts = counts.withColumn("p", F.lit(0.5))
-        else:
-            counts = counts.join(pi0.where(F.col("order") == order).select("channel", "ctx", "b", "p"), ["channel", "ctx", "b"], "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
-        e = F.col("n") * F.col("p")
-        chi = counts.groupBy("clip").agg(F.sum(F.when(e > 0, F.pow(F.col("o") - e, 2) / e)).alias("chi2"))
-        one = chi.select("clip", F.lit(order).alias("order"), "chi2", scalars.chi2_tail(F.col("chi2"), 1 << order).alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = randomness.all_markov_counts(bits, bit, orders).join(segments.select("clip", "channel"), "clip")
+    if pi0 is None:
+        counts = counts.withColumn("p", F.lit(0.5))
+    else:
+        known = pi0.select("channel", "order", "ctx", "b", "p")
+        counts = counts.join(known, ["channel", "order", "ctx", "b"], "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
+    # of a context's cells the expected counts share its total
+    row = Window.partitionBy("clip", "order", "ctx")
+    e = F.sum("o").over(row) * F.col("p")
+    rated = counts.select("clip", "order", F.when(e > 0, F.pow(F.col("o") - e, 2) / e).alias("term"))
+    chi = rated.groupBy("clip", "order").agg(F.sum("term").alias("chi2"))
+    tail = F.coalesce(*(F.when(F.col("order") == k, scalars.chi2_tail(F.col("chi2"), 1 << k)) for k in orders))
+    return chi.select("clip", "order", "chi2", tail.alias("p"))
 
 
 def analysed(deltas: DataFrame, segments: DataFrame, stats: DataFrame, chances: DataFrame, style: str = "rich", robust: bool = False) -> DataFrame:

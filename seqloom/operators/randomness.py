@@ -10,10 +10,16 @@ from . import sequences as S
 
 def markov_counts(seq: DataFrame, bit: str, order: int) -> DataFrame:
     """clip, ctx, b, o: how often bit b follows context ctx, one added to every cell of the full grid."""
-    cells = seq.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << order) - 1).cast("long"))).alias("ctx"))
-    cells = cells.select("clip", "ctx", F.explode(F.array(F.lit(0), F.lit(1))).alias("b"))
-    seen = S.windows(seq, bit, order).groupBy("clip", "ctx", F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    return cells.join(seen, ["clip", "ctx", "b"], "left").select("clip", "ctx", "b", (F.coalesce("c", F.lit(0)) + 1).alias("o"))
+    return all_markov_counts(seq, bit, (order,)).drop("order")
+
+
+def all_markov_counts(seq: DataFrame, bit: str, orders: tuple[int, ...]) -> DataFrame:
+    """clip, order, ctx, b, o for every order: the sequence is read for its windows once, and once for the clips there are."""
+    grid = seq.select("clip").distinct().select("clip", F.explode(F.array(*map(F.lit, orders))).alias("order"))
+    grid = grid.select("clip", "order", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.col("order")).cast("long") - 1)).alias("ctx"))
+    cells = grid.select("clip", "order", "ctx", F.explode(F.array(F.lit(0), F.lit(1))).alias("b"))
+    seen = S.all_windows(seq, bit, orders).groupBy("clip", F.col("w").alias("order"), "ctx", F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return cells.join(seen, ["clip", "order", "ctx", "b"], "left").select("clip", "order", "ctx", "b", (F.coalesce("c", F.lit(0)) + 1).alias("o"))
 
 
 def markov_chi2(counts: DataFrame, reference: DataFrame | None = None) -> DataFrame:

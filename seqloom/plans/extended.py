@@ -233,7 +233,7 @@ SELECT q.clip, round(max(abs((delta - m0) / s0)), 5) AS s2, count(*) AS n_checks
 """)
 def segment_analysis(spark, d):
     b, of = bits(spark, d), segments_of(spark, d)
-    found = deltas(spark, d)
+    found = shared.stored(deltas(spark, d))  # a row a clip and check, used three times
     out = profiles.analysed(found, of, profiles.statistics(found, of), profiles.markov_p(b, "bit", of, profiles.transitions(b, "bit", of, (2,)), (2,)), robust=True)
     return out.select("clip", F.round("s2", 5).alias("s2"), "n_checks", r6(F.col("chi2_p")["order_2"]).alias("chi2_p"))
 
