@@ -190,3 +190,17 @@ def test_feedback_register_bit_by_bit():
             state = ((state << 1) | (new & 1)) & 0xFFFFFFFF
         assert signals.feedback_register(seed, 5000).tolist() == expected
     assert len(signals.feedback_register(7, 0)) == 0 and len(signals.feedback_register(7, 1)) == 1
+
+
+def test_windows_of_all_widths_equal_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, int(b)) for c, n in ((1, 90), (2, 3), (3, 1)) for i, b in enumerate(rng.integers(0, 2, n))]
+    seq = spark.createDataFrame(rows, "clip long, i long, bit int")
+    key = lambda r: (r["clip"], r["w"], r["i"], r["ctx"], r["y"])
+    got = S.all_windows(seq, "bit", (1, 2, 5)).collect()
+    want = [r for w in (1, 2, 5) for r in S.windows(seq, "bit", w).withColumn("w", F.lit(w)).collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    counts = randomness.all_markov_counts(seq, "bit", (1, 2)).collect()
+    # every clip has every cell, those too short for a window one each
+    assert len(counts) == 3 * (4 + 8) and all(r["o"] == 1 for r in counts if r["clip"] == 3)
+    assert sum(r["o"] - 1 for r in counts if r["clip"] == 1) == 89 + 88
