@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,24 @@ def sprt(rows: DataFrame, llr: str, alpha: float = 0.01, beta: float = 0.05, mos
     return rows.withColumn("lambda", c).withColumn("verdict", verdict).drop("_c", "_s")
 
 
+def with_prior(rows: DataFrame, llr: str, prior: float) -> DataFrame:
+    """llr with the prior log odds added in each clip's first row (order i), so that the test's sums start there."""
+    return rows.withColumn(llr, F.col(llr) + F.when(F.lag("i").over(S.in_clip()).isNull(), F.lit(float(prior))).otherwise(F.lit(0.0)))
+
+
 def final_verdicts(rows: DataFrame) -> DataFrame:
     """clip, verdict: the last that is not pending, else undecided."""
     return rows.groupBy("clip").agg(F.coalesce(F.max_by(F.when(F.col("verdict") != "pending", F.col("verdict")), F.when(F.col("verdict") != "pending", F.col("k"))), F.lit("undecided")).alias("verdict"))
 
 
+def call_log(rows: DataFrame) -> DataFrame:
+    """clip, verdict, seconds, lambda of each call: the rows that were scored up to the first verdict that is not pending,
+    and the sum there; of a call without one, all its rows and the last sum, undecided."""
+    done = F.when(F.col("verdict") != "pending", F.struct("k", "verdict", "lambda"))
+    ended = F.coalesce(F.min(done), F.max(F.struct("k", F.lit("undecided").alias("verdict"), "lambda"))).alias("_e")
+    return rows.groupBy("clip").agg(ended).select("clip", "_e.verdict", F.col("_e.k").cast("long").alias("seconds"), "_e.lambda")
+
+
 def latest_before(value: str) -> Column:
     """The last value that an earlier row of the clip has."""
     return F.last(value, True).over(S.in_clip().rowsBetween(Window.unboundedPreceding, -1))
@@ -65,6 +80,33 @@ def eer(scored: DataFrame, score: str, y: str) -> DataFrame:
     return best.select(F.when(F.col("m").isNull(), 0.5).when(F.col("m.gap") >= 1, 0.5).otherwise((F.col("m.fpr") + F.col("m.fnr")) / 2).alias("eer"))
 
 
+def rates_by_key(scored: DataFrame, keys: list[str], score: str, y: str, buckets: int = 256) -> DataFrame:
+    """keys, n, auc, eer: both measures for each key in one plan, by the rules of `auc` and `eer`; a half each with one class.
+
+    Rows without a score or a class take no part; a null key is a key. Before anything is sorted there is one row a key and
+    distinct score, and a task sorts the scores of one of a key's buckets, so that no task holds a key."""
+    same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[f"_{k}"]) for k in keys))
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    by = scored.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
+    edges = by.groupBy(*named).agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10_000).alias("_edges"))
+    placed = by.join(edges, same(by, edges)).select(*keys, "_x", "p", "n", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_b"))
+    sums = placed.groupBy(*named, F.col("_b").alias("_bucket")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    own = Window.partitionBy(*(f"_{k}" for k in keys))  # at most `buckets` rows each
+    before = own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(f"_{k}" for k in keys), "_bucket", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"), F.sum("_p").over(own).alias("np"), F.sum("_n").over(own).alias("nn"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_ip", F.coalesce(F.sum("p").over(inner), F.lit(0))).withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    points = ranked.join(sums, same(ranked, sums) & (ranked["_b"] == sums["_bucket"])).select(*keys, "_x", "p", "n", "np", "nn", (F.col("_bp") + F.col("_ip")).alias("fn"), (F.col("_bn") + F.col("_in")).alias("tn"))
+    fpr, fnr = (F.col("nn") - F.col("tn")) / F.col("nn"), F.col("fn") / F.col("np")
+    both = (F.col("np") > 0) & (F.col("nn") > 0)
+    found = points.groupBy(*keys).agg(
+        F.sum(F.col("p") + F.col("n")).alias("n"),
+        F.coalesce(F.max(F.when(both, F.lit(1.0) / (F.col("np") * F.col("nn")))) * F.sum(F.col("p") * (F.col("tn") + F.col("n") / 2.0)), F.lit(0.5)).alias("auc"),
+        F.min(F.when(both, F.struct(F.abs(fpr - fnr).alias("gap"), (-F.col("_x")).alias("s"), fpr.alias("fpr"), fnr.alias("fnr")))).alias("m"),
+    )
+    return found.select(*keys, "n", "auc", F.when(F.col("m").isNull() | (F.col("m.gap") >= 1), 0.5).otherwise((F.col("m.fpr") + F.col("m.fnr")) / 2).alias("eer"))
+
+
 def confusion(verdicts: DataFrame, positive: Column, flagged: Column) -> DataFrame:
     return verdicts.agg(
         F.avg((positive == flagged).cast("double")).alias("accuracy"),
