@@ -49,3 +49,27 @@ def test_stages(spark, stages):
 
 def test_run_gives_the_stages_rows(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[-1][1].count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty, repeated and very long rows, clashing column names, and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, _h string"
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (4, "one two three"), (None, "a text without an id"), (5, long), (6, " \t\n")]
+    for name, data in (("odd", rows), ("none", [])):
+        d = f"file://{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, "s", None, 0.5, 7, "x") for i, t in data], schema).write.parquet(f"{d}/documents.parquet")
+        spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(got[0].asDict() if got else corpus_pipeline.run(spark, d).columns)
+        if name == "none":
+            assert not got
+            continue
+        # of the equal texts the largest id stays; pieces of the long text follow one another without gaps
+        assert 3 not in {r["doc_id"] for r in got} and 4 in {r["doc_id"] for r in got}
+        assert any(r["doc_id"] == 5 and r["piece"] > 0 for r in got)
+        places = {}
+        for r in got:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for spans in places.values():
+            assert all(b == a + n for (a, n), (b, _) in zip(sorted(spans), sorted(spans)[1:])) and sum(n for _, n in spans) <= 2048

@@ -167,6 +167,21 @@ def test_toxicity(labelled, spark, nothing):
     assert toxicity.score(nothing, labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Only rows that the model did not learn from, with a very long text and columns of clashing names among them."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    long = spark.createDataFrame([(-1, "plain words of no harm " * 40_000)], "doc_id long, text string")
+    out = toxicity.score(docs.select("doc_id", "text").unionByName(long).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1)), labels, toxicity.fold(5) != 0)
+    scores = out.select("doc_id", "score", "predicted")
+    rows = scores.join(labels.where("toxic IS NOT NULL"), "doc_id").where(toxicity.fold(5) == 0).collect()
+    toxic, other = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 50 and len(other) > 500
+    assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r["predicted"] for r in other) <= 0.02 * len(other)
+    assert [r["predicted"] for r in scores.where("doc_id = -1").collect()] == [0]
+
+
 def test_pages(spark):
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>H</header><nav><a href="/x">menu</a></nav><div class="ad">Buy</div><div class="cookie-notice">We use</div>{}<section class="comments"><p>First!</p></section><form><input>Send</form><footer>&copy; F</footer></body></html>'
     article = "<article><h1>Head&nbsp;line</h1><p>One <b>bo</b>ld &amp; two<p>Three\n\n four<br>five<aside>no</aside><ul><li>six<li>seven</ul></article>"
