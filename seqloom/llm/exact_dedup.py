@@ -1,7 +1,8 @@
 """Exact deduplication (operator 8).
 
-Rows are grouped by the 128-bit MD5 of their text; only rows of groups with several members then bring their text,
-which is compared by grouping on (hash, text). Equal hashes of different texts therefore make different groups. The
+Rows are grouped by the 128-bit MD5 of their text; rows of groups with several members then bring their text, which is
+compared by grouping on (hash, text). Where the repeated hashes are few enough for Spark to broadcast them, no other text
+leaves its task; beyond that size all texts are dealt by their hash once before those without a copy go. Equal hashes of different texts therefore make different groups. The
 members of a hot hash, one with at least `hot_rows` rows and a thousandth of all rows, are dealt to salts in proportion to
 its count, so that a task gets about `hot_rows / 10` of them, and each salt sends one row a text on. There are at most a thousand hot hashes, whatever the data:
 that table alone is broadcast.
