@@ -19,3 +19,12 @@ def test_networks_side_by_side_are_those_one_by_one(hidden, classify, told):
         alone = predictors.Network(hidden, classify, 42, epochs=60).fit(x.astype(float), y)
         assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(alone.weights, net.weights, strict=True))
     assert predictors.fit_all([], hidden, classify, 42) == []
+
+
+@pytest.mark.parametrize("query", ["middle_statistics", "block_statistics"])
+def test_windows_of_a_sequence_are_not_rows(spark, query):
+    """Neither sorted nor shuffled nor stored one by one: a plan that explodes them grows with every width and direction."""
+    from seqloom.plans.registry import QUERIES
+
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.split("MapInPandas")[0] and "MapInPandas" in plan
