@@ -78,38 +78,50 @@ def poisson_weights(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarra
     return np.searchsorted(POISSON, share.ravel(), "right").reshape(share.shape).astype(float)
 
 
-def _tallied(replicates: int, seed: int, rows: int = 512):
+def _tallied(replicates: int, seed: int, rows: int = 128):
     """A task's range of scores as three rows: its first score, its last, and all between (u: weighted pairs won among themselves)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zero = lambda: np.zeros(replicates)
         part, first, open_, inner = None, None, None, [zero(), zero(), zero()]
 
-        def close(group):
-            nonlocal first
-            if first is None:
-                first = group
-                return
-            _, p, n = group
-            inner[0] += p * (inner[2] + n / 2)
-            inner[1] += p
-            inner[2] += n
+        def between(ps, ns):  # whole groups in a row, none of them the range's first or last
+            if len(ps):
+                below = inner[2] + np.cumsum(ns, axis=0) - ns / 2
+                inner[0] += np.einsum("gr,gr->r", ps, below)
+                inner[1] += ps.sum(axis=0)
+                inner[2] += ns.sum(axis=0)
 
+        weights = {}  # of a speaker's hash: few speakers have many rows
         for pdf in batches:
             part = int(pdf["_r"].iloc[0]) if len(pdf) else part
             for k in range(0, len(pdf), rows):
                 one = pdf.iloc[k : k + rows]
-                v, y = one["_v"].to_numpy(float), one["_y"].to_numpy(float)[:, None]
-                w = poisson_weights(one["_h"].to_numpy(), replicates, seed) * one["_c"].to_numpy(float)[:, None]
+                v, y, c = one["_v"].to_numpy(float), one["_y"].to_numpy(float)[:, None], one["_c"].to_numpy(float)[:, None]
+                hashes, of = np.unique(one["_h"].to_numpy(), return_inverse=True)
+                if len(weights) > 2000:
+                    weights = {}
+                new = np.array([h for h in hashes.tolist() if h not in weights], np.int64)
+                weights |= dict(zip(new.tolist(), poisson_weights(new, replicates, seed), strict=True)) if len(new) else {}
+                w = np.stack([weights[h] for h in hashes.tolist()])[of] * c
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(v)) + 1))
-                ps, ns = np.add.reduceat(w * y, starts), np.add.reduceat(w * (1 - y), starts)
-                for s, p, n in zip(v[starts], ps, ns, strict=True):
-                    if open_ is not None and open_[0] == s:
-                        open_ = (s, open_[1] + p, open_[2] + n)
+                ps = w * y
+                ns = w - ps
+                if len(starts) < len(v):
+                    ps, ns = np.add.reduceat(ps, starts), np.add.reduceat(ns, starts)
+                scores, at = v[starts], 0
+                if open_ is not None:
+                    if open_[0] == scores[0]:
+                        ps[0] += open_[1]
+                        ns[0] += open_[2]
+                    elif first is None:
+                        first = open_
                     else:
-                        if open_ is not None:
-                            close(open_)
-                        open_ = (s, p, n)
+                        between(open_[1][None], open_[2][None])
+                if first is None and len(scores) > 1:
+                    first, at = (scores[0], ps[0].copy(), ns[0].copy()), 1
+                between(ps[at:-1], ns[at:-1])
+                open_ = (scores[-1], ps[-1].copy(), ns[-1].copy())
         if open_ is None:
             return
         out = [(part, 2, open_[0], zero(), open_[1], open_[2])]
