@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import barriers
+from ..sources.shared import stored
 from . import sequences as S
 
 
@@ -55,11 +56,21 @@ def auc(scored: DataFrame, score: str, y: str) -> DataFrame:
     return total.select(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).otherwise(0.5).alias("auc"))
 
 
+def edges_below(edges: Column, coarse: Column, x: Column, step: int = 16) -> Column:
+    """How many of the sorted edges are below x; coarse: every step-th of them, so that a row is compared with few."""
+    count = lambda some: F.size(F.filter(some, lambda e: e < x))
+    at = count(coarse) * step
+    return at + count(F.slice(edges, at + 1, F.lit(step - 1)))
+
+
 def roc_points(scored: DataFrame, score: str, y: str, buckets: int = 256) -> DataFrame:
     """score, p, n (rows of either class at a score), below (negatives with lower scores) and above (positives with higher ones)."""
     by = scored.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
+    by = stored(by)  # what gives the scores is not run again for every use of the points
     edges = by.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [0.0]
-    placed = by.withColumn("bucket", F.size(F.filter(F.lit(sorted(set(edges))), lambda e: e < F.col("score"))))
+    edges = sorted(set(edges))
+    doubles = lambda some: F.array(*map(F.lit, some)).cast("array<double>")
+    placed = by.withColumn("bucket", edges_below(doubles(edges), doubles(edges[15::16]), F.col("score")))
     sums = placed.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     v = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,8 +99,9 @@ def rates_by_key(scored: DataFrame, keys: list[str], score: str, y: str, buckets
     same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[f"_{k}"]) for k in keys))
     named = [F.col(k).alias(f"_{k}") for k in keys]
     by = scored.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
-    edges = by.groupBy(*named).agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10_000).alias("_edges"))
-    placed = by.join(edges, same(by, edges)).select(*keys, "_x", "p", "n", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_b"))
+    edges = by.groupBy(*named).agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10_000).alias("_edges")).withColumn("_coarse", F.filter("_edges", lambda e, k: k % 16 == 15))
+    # a row a key: dealt by key, all of a key's scores would lie in one task
+    placed = by.join(F.broadcast(edges), same(by, edges)).select(*keys, "_x", "p", "n", edges_below(F.col("_edges"), F.col("_coarse"), F.col("_x")).alias("_b"))
     sums = placed.groupBy(*named, F.col("_b").alias("_bucket")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     own = Window.partitionBy(*(f"_{k}" for k in keys))  # at most `buckets` rows each
     before = own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,3 +28,36 @@ def test_windows_of_a_sequence_are_not_rows(spark, query):
 
     plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.split("MapInPandas")[0] and "MapInPandas" in plan
+
+
+def test_edges_below(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import decisions
+
+    for edges in ([], [0.5], [float(k) for k in range(0, 510, 2)], [float(k) for k in range(16)]):
+        one = lambda some: F.array(*map(F.lit, some)).cast("array<double>")
+        got = spark.range(-2, 520).select(F.col("id").cast("double").alias("x")).select("x", decisions.edges_below(one(edges), one(edges[15::16]), F.col("x")).alias("n")).collect()
+        assert all(r["n"] == sum(e < r["x"] for e in edges) for r in got)
+
+
+def test_a_keys_scores_are_not_dealt_by_key(spark):
+    from seqloom.operators import decisions
+
+    rows = spark.createDataFrame([(f"c{i % 2}", float(i % 37), i % 2) for i in range(200)], "channel string, s double, y int")
+    plan = decisions.rates_by_key(rows, ["channel"], "s", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_networks_of_many_sequences_are_each_ones_own():
+    from seqloom.operators import reports
+
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 2, n) for n in (9, 120, 400, 300)] + [np.zeros(200, np.int64)]
+    for d in ("fwd", "bwd"):
+        assert reports.middle_accuracies(sequences, 8, d, 42) == [reports.middle_accuracies([x], 8, d, 42)[0] for x in sequences]
+    alone = [reports.block_models([x], 8, 42)[0] for x in sequences]
+    for a, b in zip(alone, reports.block_models(sequences, 8, 42), strict=True):
+        assert all(np.allclose(x, y, rtol=0, atol=1e-9) for x, y in zip(a[0].weights, b[0].weights, strict=True))
+    series = [rng.normal(size=n) for n in (5, 30, 90)]
+    assert predictors.rhos(series, 4, 42) == pytest.approx([predictors.rho(x, 4, 42) for x in series])
