@@ -143,23 +143,90 @@ def prepared(clips: DataFrame, rate: int, seed: int, corpus: list[np.ndarray] |
     return clips.select("clip", "sr", "samples").mapInPandas(run, f"clip {kind}, i long, x double, noise double")
 
 
+def loss_of(draws: np.ndarray, pct: float, stay: float | None) -> np.ndarray:
+    """Frames that are lost (1), from a number in [0, 1) each; by the rules of bernoulli_loss, or bursty_loss if stay is given."""
+    share = pct / 100
+    if stay is None:
+        return (draws * 100 < pct).astype(np.int32)
+    if share <= 0 or share >= 1:
+        return np.full(len(draws), int(share >= 1), np.int32)
+    fail, out = min(1.0, max(1e-6, share * stay / (1 - share))), np.zeros(len(draws), np.int32)
+    for k, u in enumerate(draws):
+        out[k] = u < share if not k else u >= stay if out[k - 1] else u < fail
+    return out
+
+
+def concealed_samples(x: np.ndarray, lost: np.ndarray, frame: int) -> np.ndarray:
+    """`concealed` of one clip's samples; lost: 1 for each frame that is."""
+    y, fade = x.copy(), min(FADE, frame // 4)
+    source, k = None, 0
+    for f, gone in enumerate(lost):
+        here = slice(f * frame, min((f + 1) * frame, len(x)))
+        if not gone:
+            source, k = x[here], 0
+            continue
+        k += 1
+        n = here.stop - here.start
+        held = np.zeros(n)
+        if source is not None:
+            held[: len(source)] = source[:n] * 10.0 ** (-ATTENUATION_DB * k / 20)
+        if k == 1 and f:
+            m = min(fade, n)
+            a = np.arange(m) / max(fade - 1, 1)
+            tail = x[f * frame - fade : f * frame][:m]
+            held[:m] = (1 - a) * tail + a * held[:m]
+        y[here] = held
+    return y
+
+
+def speech_power(x: np.ndarray, frame: int, gate_db: float = 30.0) -> float:
+    """sequences.active_power of one clip's samples."""
+    whole = x[: len(x) // frame * frame].reshape(-1, frame)
+    energy = (whole * whole).sum(axis=1)
+    top = energy.max() / frame if len(energy) else 0.0
+    active = energy[energy / frame >= top * 10 ** (-gate_db / 10)] if top > 0 else energy[:0]
+    return float(active.sum() / (len(active) * frame)) if len(active) else float((x * x).mean())
+
+
 def simulated(clips: DataFrame, codec: str, sr: int, loss_pct: float = 0.0, snr_db: float | None = None, burst: float | None = None, seed: int = 42, frame_ms: int = 20, corpus: list[np.ndarray] | None = None) -> tuple[DataFrame, int]:
     """(clip, i, y, lost) of clips (clip, sr, samples, all of rate sr) after a channel, and the rate: resampling, noise, codec,
-    frame loss with concealment, limits. burst: the chance that a run of lost frames ends, for bursty loss. The codecs here delay nothing."""
+    frame loss with concealment, limits. burst: the chance that a run of lost frames ends, for bursty loss. The codecs here
+    delay nothing. A clip comes as one row and stays one until it is through, so that nothing is shuffled or joined."""
     if codec not in ("clean", "g711a", "g711u"):
         raise ValueError(f"no codec for {codec!r} on this machine")
     rate = sr if codec == "clean" else 8000
     frame = rate * frame_ms // 1000
-    seq = prepared(clips, rate, seed, corpus)
-    if snr_db is not None:
-        seq = noisy(seq, "x", "noise", snr_db, frame).withColumn("x", F.col("y")).drop("y")
+    kind = clips.schema["clip"].dataType.simpleString()
+
+    def before(batches):
+        import zlib
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                x = resampled(np.asarray(r.samples if r.samples is not None else [], float), rate, int(r.sr))
+                if snr_db is not None and len(x):
+                    noise = sampled_noise(corpus or [], len(x), zlib.crc32(f"{r.clip}:{seed}".encode()))
+                    x = x + noise * np.sqrt((speech_power(x, frame) or 1.0) / 10 ** (snr_db / 10))
+                if len(x):
+                    out.append((r.clip, x))
+            if out:
+                yield pd.DataFrame({"clip": [c for c, _ in out], "x": [x for _, x in out], "_n": [-(-len(x) // frame) for _, x in out]})
+
+    def after(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            lost = [loss_of(np.asarray(u, float), loss_pct, burst) for u in pdf["_u"]]
+            y = [np.clip(concealed_samples(np.asarray(x, float), gone, frame), -1.0, 1.0) for x, gone in zip(pdf["x"], lost, strict=True)]
+            yield pd.DataFrame({"clip": pdf["clip"], "y": y, "lost": [np.repeat(gone, frame)[: len(v)] for gone, v in zip(lost, y, strict=True)]})
+
+    rows = clips.select("clip", "sr", "samples").mapInPandas(before, f"clip {kind}, x array<double>, _n long")
     if codec != "clean":
-        seq = seq.withColumn("x", g711.round_trip(F.col("x"), "alaw" if codec == "g711a" else "ulaw"))
-    seq = S.framed(seq.select("clip", "i", "x"), frame)
-    frames = seq.select("clip", "frame").distinct()
-    lost = bernoulli_loss(frames, loss_pct, seed) if burst is None else bursty_loss(frames, loss_pct, burst, seed)
-    out = concealed(seq.join(lost, ["clip", "frame"]), "x", frame)
-    return out.select("clip", "i", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("y"))).alias("y"), "lost"), rate
+        rows = rows.withColumn("x", F.transform("x", lambda v: g711.round_trip(v, "alaw" if codec == "g711a" else "ulaw")))
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda f: F.pmod(F.xxhash64(F.col("clip"), f, F.lit(seed)), F.lit(1 << 30)) / (1 << 30))
+    out = rows.select("clip", "x", draws.alias("_u")).mapInPandas(after, f"clip {kind}, y array<double>, lost array<int>")
+    return out.select("clip", F.posexplode(F.arrays_zip("y", "lost")).alias("i", "e")).select("clip", F.col("i").cast("long").alias("i"), "e.y", "e.lost"), rate
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -61,3 +61,26 @@ def test_networks_of_many_sequences_are_each_ones_own():
         assert all(np.allclose(x, y, rtol=0, atol=1e-9) for x, y in zip(a[0].weights, b[0].weights, strict=True))
     series = [rng.normal(size=n) for n in (5, 30, 90)]
     assert predictors.rhos(series, 4, 42) == pytest.approx([predictors.rho(x, 4, 42) for x in series])
+
+
+@pytest.mark.parametrize("burst", [None, 0.4])
+def test_a_clip_stays_a_row_in_the_channel(spark, burst):
+    """The samples, frame by frame, are those of the operators over long tables, and none of them is shuffled."""
+    from pyspark.sql import functions as F
+
+    from seqloom.functions import g711
+    from seqloom.operators import channel
+    from seqloom.operators import sequences as S
+
+    rng = np.random.default_rng(4)
+    clips = spark.createDataFrame([(c, 16000, rng.normal(0, 0.2, n).tolist()) for c, n in ((1, 5000), (2, 330), (3, 12345), (4, 0))], "clip long, sr int, samples array<double>")
+    out, rate = channel.simulated(clips, "g711a", 16000, loss_pct=40.0, snr_db=15.0, burst=burst)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    long = channel.noisy(channel.prepared(clips, 8000, 42), "x", "noise", 15.0, 160).select("clip", "i", g711.round_trip(F.col("y"), "alaw").alias("x"))
+    long = S.framed(long, 160)
+    frames = long.select("clip", "frame").distinct()
+    lost = channel.bernoulli_loss(frames, 40.0, 42) if burst is None else channel.bursty_loss(frames, 40.0, burst, 42)
+    want = {(r["clip"], r["i"]): (r["lost"], r["y"]) for r in channel.concealed(long.join(lost, ["clip", "frame"]), "x", 160).collect()}
+    got = {(r["clip"], r["i"]): (r["lost"], r["y"]) for r in out.collect()}
+    assert got.keys() == want.keys() and {v[0] for v in got.values()} == {0, 1}
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(max(-1, min(1, want[k][1])), abs=1e-9) for k in got)
