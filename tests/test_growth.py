@@ -84,3 +84,35 @@ def test_a_clip_stays_a_row_in_the_channel(spark, burst):
     got = {(r["clip"], r["i"]): (r["lost"], r["y"]) for r in out.collect()}
     assert got.keys() == want.keys() and {v[0] for v in got.values()} == {0, 1}
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(max(-1, min(1, want[k][1])), abs=1e-9) for k in got)
+
+
+def test_a_report_reads_its_sequences_once(spark):
+    """All its parts are those of the single operators, of short sequences too, and the sequences are scanned and sorted once."""
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import reports
+    from seqloom.plans.registry import QUERIES
+
+    plan = QUERIES["legacy_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("MapInPandas") == 1 and "Join" not in plan
+    rng = np.random.default_rng(8)
+    sizes = {1: 1, 2: 9, 3: 17, 4: 40, 5: 64, 6: 65, 7: 90, 8: 700}
+    seq = spark.createDataFrame([(c, i, int(b)) for c, n in sizes.items() for i, b in enumerate(rng.integers(0, 2, n))], "clip long, i long, bit int").localCheckpoint()
+    got = {r["clip"]: r for r in reports.full_report(seq, "bit", windows=(8, 16)).collect()}
+    assert {c: r["n"] for c, r in got.items()} == sizes
+    places = reports.drawn_places(seq)
+    nets = reports.network_details(seq, "bit", places.select("clip", "place"), (8, 16)).localCheckpoint()
+    blocks = reports.block_statistics(seq, "bit", places, (8, 16)).withColumn("one", F.lit(1))
+    want = {
+        ("bitwise", "network"): (reports.weighted(nets.where("kind = 'bit'"), "n", "accuracy"), ("accuracy", "total")),
+        ("bitwise", "counts"): (reports.weighted(reports.middle_statistics(seq, "bit", (8, 16)), "tests", "chi2", "p"), ("chi2", "p", "total")),
+        ("block", "network"): (reports.weighted(nets.where("kind = 'block'"), "n", "accuracy"), ("accuracy", "total")),
+        ("block", "counts"): (reports.weighted(blocks, "one", "chi2", "p"), ("chi2", "p", "total")),
+    }
+    for (kind, part), (rows, fields) in want.items():
+        found = {r["clip"]: [r[f] for f in fields] for r in rows.collect()}
+        own = {c: r["report"][kind][part] for c, r in got.items() if r["report"][kind][part] is not None}
+        assert own.keys() == found.keys() and 0 < len(own) < len(sizes)
+        for c, r in own.items():
+            assert [r[f] for f in fields] == pytest.approx(found[c], abs=1e-12)
+            assert r["strong"] == (r["accuracy"] <= 0.55 if part == "network" else r["p"] > 0.05)
