@@ -116,3 +116,64 @@ def test_a_report_reads_its_sequences_once(spark):
         for c, r in own.items():
             assert [r[f] for f in fields] == pytest.approx(found[c], abs=1e-12)
             assert r["strong"] == (r["accuracy"] <= 0.55 if part == "network" else r["p"] > 0.05)
+
+
+def test_sessions_of_a_shard_share_a_state(spark, tmp_path):
+    """Rows of odd sessions over several batches are those of a loop, and there are no more states than shards."""
+    import math
+
+    from seqloom.streaming.verdicts import streaming_sprt
+
+    rng = np.random.default_rng(6)
+    far = 2**53 + 1
+    rows = [(c, i, float(rng.normal(0.3, 1.5))) for c in [*range(60), None, far, far + 1] for i in range(int(rng.integers(1, 25)))]
+    rows += [(0, 2**60 + 1, 0.5), (1, None, 0.5), (2, 30, None), (2, 31, 9.0)]
+    batches = [[r for r in rows if (30 if r[1] is None else r[1]) // 7 % 4 == k] for k in range(4)]
+    batches = sorted(batches, key=lambda b: min(30 if r[1] is None else r[1] for r in b))
+    want, state = [], {}
+    for batch in batches:
+        for c, i, llr in sorted(batch, key=lambda r: math.inf if r[1] is None else r[1]):
+            k, total, verdict = state.get(c, (0, 0.0, "pending"))
+            k += 1
+            if verdict == "pending":
+                total += math.nan if llr is None else llr
+                verdict = "suspicious" if total >= math.log(95) else "normal" if total <= math.log(0.05 / 0.99) else "undecided" if k >= 8 else "pending"
+            state[c] = k, total, verdict
+            want.append((c, i, k, None if math.isnan(total) else total, verdict))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "clip long, i long, llr double"
+    q = streaming_sprt(spark.readStream.schema(schema).parquet(str(folder)), idle_ms=None, shards=5).writeStream.format("memory").queryName("shards").start()
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        q.processAllAvailable()
+    states = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(spark.table("shards").collect()) == key(want) and states <= 5 < len(state)
+
+
+def test_an_idle_session_of_a_shard_is_forgotten(spark, tmp_path):
+    import time
+
+    from seqloom.streaming.verdicts import streaming_sprt
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "clip long, i long, llr double"
+    q = streaming_sprt(spark.readStream.schema(schema).parquet(str(folder)), idle_ms=6000, shards=1).writeStream.format("memory").queryName("idle").start()
+
+    def sent(rows, many):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        end = time.time() + 60
+        while spark.table("idle").count() < many and time.time() < end:
+            time.sleep(0.2)
+
+    sent([(1, 0, 0.1), (2, 0, 0.1)], 2)
+    for k in range(1, 5):  # 1 is busy, 2 is not
+        time.sleep(2)
+        sent([(1, k, 0.1)], 2 + k)
+    sent([(1, 5, 0.1), (2, 5, 0.1)], 8)
+    q.stop()
+    got = {(r["clip"], r["i"]): r["k"] for r in spark.table("idle").collect()}
+    assert got == {**{(1, k): k + 1 for k in range(6)}, (2, 0): 1, (2, 5): 1}
