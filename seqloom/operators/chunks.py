@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,30 @@ from . import sequences as S
 from .signal import bits_of, residual_of, voiced_frames
 
 
-def chunked(seq: DataFrame, value: str, size: int, before: int, after: int, kernel: Callable[[np.ndarray, int, int], dict], types: str) -> DataFrame:
-    """clip, and what kernel(samples, start, n) gives for each chunk of `size` samples: `samples` begin `before` samples
-    ahead of `start` and end `after` samples behind the chunk's n. types: names and types of what it gives."""
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for the rows of equal keys that lie together; a key whose rows go on in the next batch comes again."""
+    for batch in batches:
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= np.diff(batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)) != 0
+        edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:]):  # noqa: B905
+            yield tuple(batch.column(k)[low].as_py() for k in keys), batch.slice(low, high - low)
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    """A list for each row of an array."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def chunked(seq: DataFrame, value: str, size: int, before: int, after: int, kernel: Callable[[np.ndarray, int, int, int], dict], types: str) -> DataFrame:
+    """clip, and what kernel(samples, start, n, end) gives for each chunk of `size` samples: `samples` begin `before` samples
+    ahead of `start` and end `after` samples behind the chunk's n; those from `end` on are not there. types: names and
+    types of what it gives. A task goes through its chunks one after the other, in batches that hold rows of many."""
     if before > size or after > size:
         raise ValueError("a halo goes over one neighbour at most")
     kind = seq.schema["clip"].dataType.simpleString()
@@ -24,28 +46,52 @@ def chunked(seq: DataFrame, value: str, size: int, before: int, after: int, kern
     near = F.array_compact(F.array(own, F.when(place >= size - before, own + 1), F.when((place < after) & (own > 0), own - 1)))
     dealt = seq.select("clip", F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("x"), F.explode(near).alias("chunk"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iloc[0])
-        i, x = pdf["i"].to_numpy(), pdf["x"].to_numpy()
+    fields = [t.split() for t in types.split(", ")]
+
+    def found(clip: pa.Scalar, chunk: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        i, x = (np.concatenate(p) for p in zip(*parts, strict=True))
         start = chunk * size
         inside = i[(i >= start) & (i < start + size)]
-        n = int(inside.max()) - start + 1 if len(inside) else 0  # none: only the halo of a neighbour
+        if not len(inside):  # only the halo of a neighbour
+            return None
+        n = int(inside.max()) - start + 1
         samples = np.zeros(before + n + after)
         at = i - start + before
         ok = at < len(samples)
         samples[at[ok]] = x[ok]
-        out = pd.DataFrame(kernel(samples, start, n)) if n else pd.DataFrame({c.split()[0]: [] for c in types.split(", ")})
-        out.insert(0, "clip", pdf["clip"].iloc[0])
-        return out
-
-    return dealt.groupBy("clip", "chunk").applyInPandas(run, f"clip {kind}, {types}")
+        got = kernel(samples, start, n, int(i.max()) + 1)
+        columns = [lists(v) if isinstance(v, np.ndarray) and v.ndim == 2 else pa.array(v, ARROW[kind]) for v, (_, kind) in ((got[name], f) for f in fields for name in f[:1])]
+        return pa.RecordBatch.from_arrays([pa.repeat(clip, len(columns[0])), *columns], ["clip", *(name for name, _ in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, clip, parts, ready, many = None, None, [], [], 0
+        for own, rows in runs(batches, "clip", "chunk"):
+            if parts and own != key:
+                ready.append(found(clip, key[1], parts))
+                many, parts = many + len(parts[0][0]), []
+                if many >= 10_000:
+                    yield from joined(ready)
+                    ready, many = [], 0
+            key, clip = own, rows.column("clip")[0]
+            parts.append((rows.column("i").to_numpy(zero_copy_only=False), rows.column("x").to_numpy(zero_copy_only=False)))
+        if parts:
+            ready.append(found(clip, key[1], parts))
+        yield from joined(ready)
+
+    return dealt.repartition("clip", "chunk").sortWithinPartitions("clip", "chunk").mapInArrow(run, f"clip {kind}, {types}")
+
+
+def joined(batches: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    some = [b for b in batches if b is not None]
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 def residual(seq: DataFrame, value: str, frame: int, order: int, frames_per_chunk: int = 256) -> DataFrame:
     """clip, i, e, bit: the prediction error of any order, with the history before each frame, and whether it is above its frame's median."""
     step = max(order + 1, frame)
 
-    def kernel(samples: np.ndarray, start: int, n: int) -> dict:
+    def kernel(samples: np.ndarray, start: int, n: int, end: int) -> dict:
         e = residual_of(samples[order:], frame, order, samples[:order])
         return {"i": np.arange(start, start + n), "e": e, "bit": bits_of(e, frame)}
 
@@ -90,7 +136,7 @@ def candidates_of(frames: np.ndarray, sr: int, low: float, high: float, most: in
 def pitch_candidates(seq: DataFrame, value: str, sr: int, hop: int, width: int, low: float = 75.0, high: float = 600.0, most: int = 5, octave_cost: float = 0.05, silence: float = 1e-6, hops_per_chunk: int = 400) -> DataFrame:
     """clip, frame, periods, strengths: candidates of overlapping frames of `width` samples, `hop` apart; none for silent ones."""
 
-    def kernel(samples: np.ndarray, start: int, n: int) -> dict:
+    def kernel(samples: np.ndarray, start: int, n: int, end: int) -> dict:
         count = -(-n // hop)
         view = np.lib.stride_tricks.sliding_window_view(np.pad(samples, (0, hop)), width)[: count * hop : hop]
         periods, strengths = candidates_of(view, sr, low, high, most, octave_cost)

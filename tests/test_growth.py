@@ -177,3 +177,42 @@ def test_an_idle_session_of_a_shard_is_forgotten(spark, tmp_path):
     q.stop()
     got = {(r["clip"], r["i"]): r["k"] for r in spark.table("idle").collect()}
     assert got == {**{(1, k): k + 1 for k in range(6)}, (2, 0): 1, (2, 5): 1}
+
+
+def test_cepstral_features_take_one_pass(spark):
+    """The long table is scanned once and joined with nothing; clips of few frames and of many batches give what a loop gives."""
+    from seqloom.operators import cepstra
+    from seqloom.plans.registry import QUERIES
+
+    plan = QUERIES["clip_cepstra"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and plan.count("Window") == 1
+    rng = np.random.default_rng(2)
+    clips = {str(n): rng.normal(size=(n, 3)) for n in (1, 2, 3, 4, 5, 9, 40, 12_345)}
+    clips["12345"][:, 2] = 0.1
+    rows = spark.createDataFrame([(c, f, v) for c, x in clips.items() for f, v in enumerate(x.tolist())], "clip string, frame long, c array<double>").repartition(3)
+    got = {}
+    for r in cepstra.features(rows, kept=3).collect():
+        got.setdefault(r["clip"], {})[r["frame"]] = r["features"]
+    assert got.keys() == clips.keys()
+    for c, x in clips.items():
+        at = lambda v, k: v[np.clip(np.arange(len(v)) + k, 0, len(v) - 1)]
+        slope = lambda v: sum(k * (at(v, k) - at(v, -k)) for k in (1, 2)) / 10  # noqa: E731, B023
+        f = np.concatenate((x, slope(x), slope(slope(x))), axis=1)
+        deviation = f.std(axis=0)
+        want = np.where(deviation > 1e-12, (f - f.mean(axis=0)) / np.where(deviation > 1e-12, deviation, 1), 0)
+        assert len(got[c]) == len(x) and np.allclose([got[c][k] for k in range(len(x))], want, atol=1e-9)
+
+
+def test_rows_of_a_chunk_may_come_in_several_batches(spark):
+    from seqloom.operators import chunks
+
+    seq = spark.createDataFrame([(c, i, float(i + c)) for c, n in ((1, 25_000), (2, 7), (3, 10_001)) for i in range(n)], "clip long, i long, x double").repartition(5)
+    kernel = lambda samples, start, n, end: {"start": [start], "n": [n], "end": [end], "sum": np.array([samples.sum()]), "size": [len(samples)]}
+    got = {(r["clip"], r["start"]): tuple(r)[2:] for r in chunks.chunked(seq, "x", 10_000, 3, 5, kernel, "start long, n long, end long, sum double, size int").collect()}
+    want = {}
+    for c, n in ((1, 25_000), (2, 7), (3, 10_001)):
+        for start in range(0, n, 10_000):
+            own = min(10_000, n - start)
+            end = min(n, start + own + 5)
+            want[c, start] = own, end, float(sum(i + c for i in range(max(0, start - 3), end))), own + 8
+    assert got == want
