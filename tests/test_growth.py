@@ -216,3 +216,58 @@ def test_rows_of_a_chunk_may_come_in_several_batches(spark):
             end = min(n, start + own + 5)
             want[c, start] = own, end, float(sum(i + c for i in range(max(0, start - 3), end))), own + 8
     assert got == want
+
+
+class Counted:
+    """A generator that counts the orders drawn from all of its kind."""
+
+    orders = 0
+
+    def __init__(self, rng):
+        self.rng = rng
+
+    def uniform(self, *args):
+        return self.rng.uniform(*args)
+
+    def permutation(self, n):
+        Counted.orders += 1
+        return self.rng.permutation(n)
+
+
+@pytest.mark.parametrize("hidden, classify", [(8, True), (4, False), ((16, 8), True), ((16, 8), False)])
+def test_networks_of_equally_many_rows_draw_their_orders_once(monkeypatch, hidden, classify):
+    rng = np.random.default_rng(6)
+    data = []
+    for n in (300, 230, 300, 230, 300, 41):
+        x = rng.integers(0, 2, (n, 8)).astype(np.int8)
+        data.append((x, (x[:, 0] ^ (rng.random(n) < 0.1 * len(data))).astype(np.int8)))
+    data += [(x[:, ::-1], y) for x, y in data]
+    alone = [predictors.Network(hidden, classify, 42, epochs=40, rate=0.02).fit(x.astype(float), y) for x, y in data]
+    made = np.random.default_rng
+    monkeypatch.setattr(predictors.np.random, "default_rng", lambda seed: Counted(made(seed)))
+    monkeypatch.setattr(Counted, "orders", 0)
+    together = predictors.fit_all(data, hidden, classify, 42, epochs=40, rate=0.02)
+    assert Counted.orders <= 3 * 40
+    for one, net in zip(alone, together, strict=True):
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(one.weights, net.weights, strict=True))
+
+
+def test_networks_of_checks_are_in_single_precision_as_the_references():
+    rng = np.random.default_rng(7)
+    data = [((x := rng.integers(0, 2, (n, 16)).astype(np.int8)), x[:, 3] ^ x[:, 5]) for n in (250, 410, 250)]
+    for classify in (True, False):
+        double, single = (predictors.fit_all(data, 16, classify, 42, dtype=t, epochs=20) for t in (np.float64, np.float32))
+        for a, b in zip(double, single, strict=True):
+            assert all(q.dtype == np.float32 and np.allclose(p, q, rtol=0, atol=1e-3) for p, q in zip(a.weights, b.weights, strict=True))
+
+
+def test_bits_to_train_on_are_kept_as_bytes():
+    import tracemalloc
+
+    bits = np.random.default_rng(8).integers(0, 2, 60_032)
+    _, (x, y), _ = predictors._bit_task(bits, 32, 42)
+    tracemalloc.start()
+    predictors.fit_all([(x, y)] * 2, 32, True, 42, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 2 * x.shape[0] * x.shape[1]  # bytes a bit; as doubles they alone are eight
